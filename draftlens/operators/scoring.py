@@ -35,12 +35,14 @@ def edit_pairs(suggestion: DataFrame) -> DataFrame:
     """Finalized suggestions as (suggestion_id, generated, finalized), spread by id.
 
     This one exchange carries each text once. All later grouping is by id and
-    stays inside its partition.
+    stays inside its partition. The number of partitions is given, since AQE
+    would merge them by bytes while the kernels are bound by CPU.
     """
+    parts = int(suggestion.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         suggestion.where("is_finalized")
         .select(F.col("uuid").alias("suggestion_id"), "generated", "finalized")
-        .repartition("suggestion_id")
+        .repartition(parts, "suggestion_id")
     )
 
 

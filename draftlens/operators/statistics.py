@@ -75,7 +75,8 @@ def correlations(table: DataFrame, metrics=CORRELATED, by_model: bool = False) -
         F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"),
     )
     r = F.try_divide(F.col("_c"), F.sqrt(F.col("_vx") * F.col("_vy")))
-    r = F.when(F.col("n") >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # greatest and least skip NULL, so an undefined r is kept out of them.
+    r = F.when((F.col("n") >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return moments.select(*by, "metric1", "metric2", "n", r.alias("r")).withColumn(
         "p", pearson_p_value(F.col("r"), F.col("n")))
 

@@ -3,6 +3,6 @@
 
 def load():
     """The filled register."""
-    from draftlens.plans import registry, relational  # noqa: F401
+    from draftlens.plans import lifecycles, nested, registry, relational, scores, texts  # noqa: F401
 
     return registry

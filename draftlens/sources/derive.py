@@ -56,7 +56,7 @@ FROM {pages}
 """
 
 # One suggestion per document over its whole text. Toxic ones were never
-# published, good ones unchanged, the rest reordered, reworded and extended.
+# published, French ones unchanged, the rest reordered, reworded and extended.
 DERIVED["suggestion"] = """
 SELECT d.doc_id AS id, md5(concat('s', CAST(d.doc_id AS STRING))) AS uuid,
        md5(concat('story:', CAST(d.doc_id AS STRING))) AS story_hash,
@@ -75,7 +75,7 @@ SELECT d.doc_id AS id, md5(concat('s', CAST(d.doc_id AS STRING))) AS uuid,
        coalesce(l.toxic, 0) <> 1 AS is_finalized,
        d.text AS generated,
        CASE WHEN coalesce(l.toxic, 0) = 1 THEN NULL
-            WHEN coalesce(l.quality, 0) = 1 THEN d.text
+            WHEN d.lang = 'fr' THEN d.text
             ELSE concat(replace(replace(substr(d.text, 1 + CAST(floor(length(d.text) / 4) AS INT)),
                                         ' the ', ' that '), ' de ', ' '),
                         ' ', b.text, ' ',

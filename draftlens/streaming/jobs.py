@@ -1,10 +1,11 @@
 """Streaming jobs over append-only logs.
 
 Counts and latest values are native streaming aggregates in update mode.
-First-wins rules keep no unbounded state: repeats within the watermark delay are
-dropped by the engine, and older ones by an anti-join with the target table.
-Each micro-batch writes its own folder and overwrites it when run again, so a
-batch that is retried after a lost executor counts once.
+First-wins rules are exact and keep no streaming state: a micro-batch is reduced
+to one row per key and anti-joined with the keys already in the target table.
+``drop_repeats`` is the form with state bounded by a watermark, for logs whose
+repeats come within a known delay. Each micro-batch writes its own folder and
+overwrites it when run again, so a retried batch counts once.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _run(stream: DataFrame, write, state: str, mode: str, trigger: dict | None)
 
 
 def first_wins(events: DataFrame, keys: list[str], order: list[str], target: str, state: str,
-               delay: str = DELAY, trigger: dict | None = None) -> StreamingQuery:
+               trigger: dict | None = None) -> StreamingQuery:
     """Append the first arrival of each key to ``target``.
 
     Serves content dedup, get-or-create, finalize-once and answer-once. Within a
@@ -58,12 +59,21 @@ def first_wins(events: DataFrame, keys: list[str], order: list[str], target: str
             first = first.join(older, keys, "left_anti")
         first.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    return _run(events.withWatermark(order[0], delay), write, state, "append", trigger)
+    return _run(events, write, state, "append", trigger)
 
 
 def drop_repeats(events: DataFrame, keys: list[str], time: str, delay: str = DELAY) -> DataFrame:
     """The stream without repeats that arrive within the delay; state is bounded by it."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def append(events: DataFrame, target: str, state: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to Parquet files."""
+    return (
+        events.writeStream.format("parquet").outputMode("append").option("path", target)
+        .option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True})).start()
+    )
 
 
 def _running(stream: DataFrame, keys: list[str], target: str, state: str, trigger) -> StreamingQuery:
