@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -19,7 +19,6 @@ from draftlens.sources.wordlists import STOPWORDS
 
 WLCS_POWER = 1.2
 
-LCS_TYPE = T.StructType().add("lcs", "long").add("wlcs", "double")
 COUNTS_TYPE = T.StructType().add("h_tokens", "long").add("r_tokens", "long").add("matched", "long")
 OP_TYPE = T.StructType().add("op", "string").add("tokens", "integer").add("text", "string")
 EDITS_TYPE = T.StructType(list(COUNTS_TYPE.fields)).add("ops", T.ArrayType(OP_TYPE))
@@ -42,56 +41,114 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def weighted_lcs(a: list[str], b: list[str], power: float = WLCS_POWER) -> float:
-    """Lin's weighted LCS with weight k**power for a run of k matches.
+# Cells held per diagonal when pairs are filled side by side.
+WLCS_CELLS = 1 << 14
 
-    The table is filled one anti-diagonal at a time, so three diagonals are held.
+
+def weighted_lcs(pairs: list[tuple[list[str], list[str]]], power: float = WLCS_POWER) -> list[float]:
+    """Lin's weighted LCS of each pair, with weight k**power for a run of k matches.
+
+    Pairs of like size are filled together, one anti-diagonal at a time. Cells
+    beyond a pair's own corner hold padding, which no cell inside depends on.
     """
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return float(len(a) ** power)
-    if len(a) > len(b):
-        a, b = b, a
-    codes: dict[str, int] = {}
-    x = np.fromiter((codes.setdefault(t, len(codes)) for t in a), np.int64, len(a))
-    y = np.fromiter((codes.setdefault(t, len(codes)) for t in b), np.int64, len(b))[::-1].copy()
-    n, m = len(x), len(y)
+    out = [0.0] * len(pairs)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        if a == b:
+            out[i] = float(len(a) ** power)
+        elif a and b:
+            todo.append((max(len(a), len(b)), min(len(a), len(b)), i))
+    todo.sort()
+    group: list[tuple[int, int, int]] = []
+    for item in todo + [(0, 0, -1)]:
+        width = max([g[1] for g in group] + [item[1]])
+        full = group and (
+            item[2] < 0 or (len(group) + 1) * width > WLCS_CELLS or item[0] > 1.2 * group[0][0] + 8
+        )
+        if full:
+            members = [g[2] for g in group]
+            for i, score in zip(members, _fill_together([pairs[i] for i in members], power)):
+                out[i] = score
+            group = []
+        group.append(item)
+    return out
+
+
+def _fill_together(pairs: list[tuple[list[str], list[str]]], power: float) -> list[float]:
+    sides = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    n = max(len(a) for a, _ in sides)
+    m = max(len(b) for _, b in sides)
+    x = np.full((len(sides), n), -1, np.int32)
+    y = np.full((len(sides), m), -2, np.int32)
+    ends: dict[int, list[int]] = defaultdict(list)
+    for row, (a, b) in enumerate(sides):
+        codes: dict[str, int] = {}
+        x[row, : len(a)] = [codes.setdefault(t, len(codes)) for t in a]
+        y[row, : len(b)] = [codes.setdefault(t, len(codes)) for t in b]
+        ends[len(a) + len(b)].append(row)
+    y = y[:, ::-1].copy()
     weight = np.arange(n + 2, dtype=np.float64) ** power
     gain = weight[1:] - weight[:-1]
-    # Index i of a diagonal is table row i; row 0 and column 0 hold zeros.
-    score1 = np.zeros(n + 1)
-    score2 = np.zeros(n + 1)
-    run2 = np.zeros(n + 1, np.int64)
-    run1 = np.zeros(n + 1, np.int64)
-    for d in range(2, n + m + 1):
+    # Column i of a diagonal is table row i; row 0 and column 0 of the table hold
+    # zeros. Scores rotate through three buffers, runs of matches likewise.
+    score2, score1, score = (np.zeros((len(sides), n + 1)) for _ in range(3))
+    run2, run1, run = (np.zeros(len(sides) * (n + 1), np.int32) for _ in range(3))
+    old2, old1, old = (np.empty(0, np.int64) for _ in range(3))
+    out = [0.0] * len(sides)
+    for d in range(2, max(ends) + 1):
         lo, hi = max(1, d - m), min(n, d - 1)
-        # Row i meets column d - i; y is reversed, so both run upwards.
         start = m - d + lo
-        same = x[lo - 1 : hi] == y[start : start + hi - lo + 1]
-        score = np.zeros(n + 1)
-        run = np.zeros(n + 1, np.int64)
-        part = np.maximum(score1[lo - 1 : hi], score1[lo : hi + 1])
-        hits = np.flatnonzero(same)
+        part = score[:, lo : hi + 1]
+        np.maximum(score1[:, lo - 1 : hi], score1[:, lo : hi + 1], out=part)
+        run[old] = 0
+        same = x[:, lo - 1 : hi] == y[:, start : start + hi - lo + 1]
+        hits = np.flatnonzero(same.ravel())
+        # Matches as positions in a whole diagonal.
+        rows = hits // (hi - lo + 1)
+        old = hits + rows * (n + lo - hi) + lo
         if len(hits):
-            k = run2[lo - 1 + hits]
-            part[hits] = score2[lo - 1 + hits] + gain[k]
-            run[lo + hits] = k + 1
-        score[lo : hi + 1] = part
-        score2, score1 = score1, score
-        run2, run1 = run1, run
-    return float(score1[n])
-
-
-@F.pandas_udf(LCS_TYPE)
-def lcs_scores(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """LCS length and weighted LCS of two space-separated token texts."""
-    lcs, wlcs = [], []
-    for h, r in zip(hyp, ref):
-        a, b = (h or "").split(), (r or "").split()
-        lcs.append(lcs_length(a, b))
-        wlcs.append(weighted_lcs(a, b))
-    return pd.DataFrame({"lcs": lcs, "wlcs": wlcs})
+            k = run2[old - 1]
+            score.ravel()[old] = score2.ravel()[old - 1] + gain[k]
+            run[old] = k + 1
+        for row in ends.get(d, ()):
+            out[row] = float(score[row, len(sides[row][0])])
+        score2, score1, score = score1, score, score2
+        run2, run1, run = run1, run, run2
+        old2, old1, old = old1, old, old2
+    return out
+
+
+def _words(texts: pd.Series) -> list[list[str]]:
+    return [(t or "").split() for t in texts]
+
+
+def shared_grams(a: list[str], b: list[str], orders=(1, 2, 3, 4)) -> list[int]:
+    """Clipped n-gram matches of two token lists, for each order."""
+    out = []
+    for n in orders:
+        left, right = (Counter(zip(*[t[i:] for i in range(n)])) for t in (a, b))
+        if len(left) > len(right):
+            left, right = right, left
+        out.append(sum(min(c, right[g]) for g, c in left.items() if g in right))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def gram_matches(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Clipped 1- to 4-gram matches of two space-separated token texts."""
+    return pd.Series([shared_grams(a, b) for a, b in zip(_words(hyp), _words(ref))])
+
+
+@F.pandas_udf(T.LongType())
+def lcs_score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """LCS length of two space-separated token texts."""
+    return pd.Series([lcs_length(a, b) for a, b in zip(_words(hyp), _words(ref))])
+
+
+@F.pandas_udf(T.DoubleType())
+def wlcs_score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Weighted LCS of two space-separated token texts."""
+    return pd.Series(weighted_lcs(list(zip(_words(hyp), _words(ref)))))
 
 
 _WORD = re.compile("[A-Za-z0-9]+")
@@ -132,6 +189,12 @@ def edit_scores(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["h_tokens", "r_tokens", "matched", "ops"])
 
 
+# Exploding a result makes Spark infer a filter on it. Unless the kernel counts
+# as nondeterministic, that filter and a second run of the kernel move below the
+# exchange that spreads the texts.
+edit_scores = edit_scores.asNondeterministic()
+
+
 @F.pandas_udf(COUNTS_TYPE)
 def edit_counts(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     rows = [edit_ops(h or "", r or "")[:3] for h, r in zip(hyp, ref)]
@@ -187,6 +250,9 @@ def match_sentences(published: pd.Series, generated: pd.Series) -> pd.Series:
     )
 
 
+match_sentences = match_sentences.asNondeterministic()
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, after Lentz."""
     tiny = 1e-300

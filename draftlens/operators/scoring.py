@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.functions.kernels import WLCS_POWER, edit_counts, edit_scores, lcs_scores
-from draftlens.functions.text import remove_stopwords, score_tokens
+from draftlens.functions.kernels import WLCS_POWER, edit_counts, edit_scores, gram_matches, lcs_score, wlcs_score
+from draftlens.functions.text import content_words, word_ngrams
 from draftlens.sources.wordlists import STOPWORDS
 
 ORDERS = (1, 2, 3, 4)
@@ -31,61 +31,61 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def edit_pairs(suggestion: DataFrame) -> DataFrame:
-    """Finalized suggestions as (suggestion_id, generated, finalized), spread by id.
+def edit_pairs(suggestion: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Finalized suggestions as (id, suggestion_id, generated, finalized), spread by id.
 
-    This one exchange carries each text once. All later grouping is by id and
-    stays inside its partition. The number of partitions is given, since AQE
-    would merge them by bytes while the kernels are bound by CPU.
+    Suggestions with stored scores are left out before any text moves. This one
+    exchange carries each text once; all later grouping is by id and stays
+    inside its partition. The number of partitions is given, a few for each
+    core: the kernels are bound by CPU and text lengths differ widely, while AQE
+    would merge partitions by bytes.
     """
-    parts = int(suggestion.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        suggestion.where("is_finalized")
-        .select(F.col("uuid").alias("suggestion_id"), "generated", "finalized")
-        .repartition(parts, "suggestion_id")
-    )
+    session = suggestion.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    done = suggestion.where("is_finalized").select("id", F.col("uuid").alias("suggestion_id"), "generated", "finalized")
+    if stored is not None:
+        done = done.join(stored.select("suggestion_id"), "suggestion_id", "left_anti")
+    return done.repartition(parts, "id")
 
 
-def content_tokens(text: Column) -> Column:
-    return remove_stopwords(score_tokens(text), STOPWORDS)
+def _content(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Both texts without stop words, as words with single spaces."""
+    words = lambda c: content_words(F.col(c), STOPWORDS)
+    return pairs.select("id", "suggestion_id", *keep, words("generated").alias("h"), words("finalized").alias("r"))
 
 
-def _grams(tokens: Column, n: int, side: int) -> Column:
-    """All overlapping n-grams, tagged with their order and side."""
-    last = F.size(tokens) - n
-    gram = lambda i: F.struct(
-        F.lit(n).alias("n"), F.lit(side).alias("side"),
-        (F.get(tokens, i) if n == 1 else F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(n)))).alias("gram"),
-    )
-    none = F.array().cast("array<struct<n:int,side:int,gram:string>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)).otherwise(none)
+def _count(words: str) -> Column:
+    return F.when(F.col(words) == "", 0).otherwise(F.size(F.split(words, " ")))
 
 
 def rouge_n(pairs: DataFrame) -> DataFrame:
     """ROUGE-1..4: clipped n-gram matches of stop-word-free text.
 
-    Every pair also emits one empty gram, so texts without n-grams keep a row.
+    Grams are counted by (id, gram) within the partition that holds the text; a
+    gram's spaces tell its order, so it is not part of the key. One more row per
+    pair, of order 0, carries the suggestion id, so texts without n-grams keep a
+    row too.
     """
-    tokens = pairs.select(
-        "suggestion_id", content_tokens(F.col("generated")).alias("h"),
-        content_tokens(F.col("finalized")).alias("r"),
-    )
     h, r = F.col("h"), F.col("r")
-    anchor = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("side"), F.lit("").alias("gram")))
-    grams = tokens.select(
-        "suggestion_id",
-        F.inline(F.concat(anchor, *[_grams(t, n, s) for n in ORDERS for s, t in ((0, h), (1, r))])),
-    )
-    counts = grams.groupBy("suggestion_id", "n", "gram").agg(
-        F.sum(1 - F.col("side")).alias("h"), F.sum("side").alias("r"))
+    part = lambda side, grams: F.struct(F.lit(side).alias("side"), grams.alias("grams"))
+    lists = _content(pairs).select("id", F.inline(F.array(
+        part(0, F.array(F.concat(F.lit("#"), "suggestion_id"))),
+        *[part(side, word_ngrams(text, n)) for n in ORDERS for side, text in ((0, h), (1, r))])))
+    grams = lists.select("id", "side", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("id", "gram").agg(F.sum(1 - F.col("side")).alias("h"), F.sum("side").alias("r"))
+    named = F.startswith("gram", F.lit("#"))
+    spaces = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit("")))
+    counts = counts.withColumn("n", F.when(named, 0).otherwise(spaces + 1))
     of = lambda n, value: F.sum(F.when(F.col("n") == n, value).otherwise(0))
-    sums = counts.groupBy("suggestion_id").agg(*[
-        agg
-        for n in ORDERS
-        for agg in (
-            of(n, F.least(h, r)).alias(f"m{n}"), of(n, h).alias(f"h{n}"), of(n, r).alias(f"r{n}"),
-        )
-    ])
+    sums = counts.groupBy("id").agg(
+        F.max(F.when(F.col("n") == 0, F.substr("gram", F.lit(2)))).alias("suggestion_id"),
+        *[
+            agg
+            for n in ORDERS
+            for agg in (
+                of(n, F.least(h, r)).alias(f"m{n}"), of(n, h).alias(f"h{n}"), of(n, r).alias(f"r{n}"),
+            )
+        ])
     out = ["suggestion_id"]
     for n in ORDERS:
         p, rec, f = prf(F.col(f"m{n}"), F.col(f"h{n}"), F.col(f"r{n}"))
@@ -93,44 +93,66 @@ def rouge_n(pairs: DataFrame) -> DataFrame:
     return sums.select(*out)
 
 
-def rouge_lw(pairs: DataFrame) -> DataFrame:
-    """ROUGE-L and ROUGE-W over whole texts without stop words (Lin, 2004).
+def _named(metric: str, p: Column, r: Column, f: Column) -> list[Column]:
+    return [p.alias(f"{metric}_p"), r.alias(f"{metric}_r"), f.alias(f"{metric}_f")]
 
-    For W the weight of a run of k matches is k**1.2 and ratios are taken back
-    by the inverse power.
+
+ROUGE_N = tuple(f"rouge-{n}" for n in ORDERS)
+
+
+def score_edits(pairs: DataFrame, metrics=AUTO_METRICS) -> DataFrame:
+    """The given metrics of each pair, in one Arrow pass over the texts.
+
+    ROUGE-L and ROUGE-W follow Lin (2004) over whole texts without stop words;
+    for W a run of k matches weighs k**1.2 and ratios are taken back by the
+    inverse power. The user score counts tokens kept in runs with a content
+    word against both token counts, stop words included. ROUGE-1..4 equal
+    ``rouge_n``; since the texts pass through Python anyway, counting here saves
+    exploding them into grams and a join.
     """
-    texts = pairs.select(
-        "suggestion_id",
-        F.array_join(content_tokens(F.col("generated")), " ").alias("h"),
-        F.array_join(content_tokens(F.col("finalized")), " ").alias("r"),
-    )
-    scored = texts.select(
-        "suggestion_id", F.size(F.filter(F.split("h", " "), lambda t: t != "")).alias("hn"),
-        F.size(F.filter(F.split("r", " "), lambda t: t != "")).alias("rn"),
-        lcs_scores(F.col("h"), F.col("r")).alias("s"),
-    )
+    texts = _content(pairs, "generated", "finalized")
+    h, r = F.col("h"), F.col("r")
+    kernels = {}
+    for metric in metrics:
+        if metric in ROUGE_N:
+            kernels["grams"] = gram_matches(h, r)
+        elif metric == "rouge-l":
+            kernels["lcs"] = lcs_score(h, r)
+        elif metric == "rouge-w":
+            kernels["wlcs"] = wlcs_score(h, r)
+        else:
+            kernels["s"] = edit_counts(F.col("generated"), F.col("finalized"))
+    raw = texts.select("suggestion_id", _count("h").alias("hn"), _count("r").alias("rn"),
+                       *[c.alias(name) for name, c in kernels.items()])
     hn, rn = F.col("hn"), F.col("rn")
-    lp, lr, lf = prf(F.col("s.lcs"), hn, rn)
     back = lambda total: F.when(
-        total > 0, F.pow(F.col("s.wlcs") / F.pow(total.cast("double"), F.lit(WLCS_POWER)),
-                         F.lit(1.0 / WLCS_POWER))).otherwise(F.lit(0.0))
-    wp, wr = back(hn), back(rn)
-    return scored.select(
-        "suggestion_id", lp.alias("rouge_l_p"), lr.alias("rouge_l_r"), lf.alias("rouge_l_f"),
-        wp.alias("rouge_w_p"), wr.alias("rouge_w_r"), f1(wp, wr).alias("rouge_w_f"),
-    )
+        total > 0, F.pow(F.col("wlcs") / F.pow(total.cast("double"), F.lit(WLCS_POWER)), F.lit(1.0 / WLCS_POWER))
+    ).otherwise(F.lit(0.0))
+    out = []
+    for metric in metrics:
+        name = column_of(metric)
+        if metric in ROUGE_N:
+            n = int(metric[-1])
+            out += _named(name, *prf(F.get("grams", F.lit(n - 1)), hn - n + 1, rn - n + 1))
+        elif metric == "rouge-l":
+            out += _named(name, *prf(F.col("lcs"), hn, rn))
+        elif metric == "rouge-w":
+            out += _named(name, back(hn), back(rn), f1(back(hn), back(rn)))
+        else:
+            out += _named(name, *prf(F.col("s.matched"), F.col("s.h_tokens"), F.col("s.r_tokens")))
+    return raw.select("suggestion_id", *out)
 
 
-def user_score(pairs: DataFrame) -> DataFrame:
-    """Tokens kept in runs with a content word, against both token counts."""
-    scored = pairs.select("suggestion_id", edit_counts(F.col("generated"), F.col("finalized")).alias("s"))
-    p, r, f = prf(F.col("s.matched"), F.col("s.h_tokens"), F.col("s.r_tokens"))
-    return scored.select("suggestion_id", p.alias("user_p"), r.alias("user_r"), f.alias("user_f"))
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    return score_edits(pairs, ("rouge-l",))
+
 
+def rouge_w(pairs: DataFrame) -> DataFrame:
+    return score_edits(pairs, ("rouge-w",))
 
-def score_edits(pairs: DataFrame) -> DataFrame:
-    """All seven metrics; every part shares the exchange of ``edit_pairs``."""
-    return rouge_n(pairs).join(rouge_lw(pairs), "suggestion_id").join(user_score(pairs), "suggestion_id")
+
+def user_score(pairs: DataFrame) -> DataFrame:
+    return score_edits(pairs, ("user",))
 
 
 def diff_ops(pairs: DataFrame) -> DataFrame:

@@ -64,13 +64,6 @@ def delete(df: DataFrame, where: dict | None = None, keys: DataFrame | None = No
     return df.where(~eq_all(where))
 
 
-def write_increment(scored: DataFrame, stored_path: str | None) -> None:
-    """Append scores of new suggestions."""
-    scored.write.mode("append").parquet(stored_path)
-
-
-def unscored(pairs: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Pairs without stored scores; only these are scored again."""
-    if stored is None:
-        return pairs
-    return pairs.join(stored.select("suggestion_id"), "suggestion_id", "left_anti")
+def write_increment(scored: DataFrame, path: str) -> None:
+    """Append the scores of new suggestions to the stored ones."""
+    scored.write.mode("append").parquet(path)

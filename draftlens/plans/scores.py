@@ -55,12 +55,12 @@ def _(t):
 
 @query("rouge_l")
 def _(t):
-    return rounded(G.rouge_lw(G.edit_pairs(t.suggestion)).select("suggestion_id", "rouge_l_p", "rouge_l_r", "rouge_l_f"))
+    return rounded(G.rouge_l(G.edit_pairs(t.suggestion)))
 
 
 @query("rouge_w")
 def _(t):
-    return rounded(G.rouge_lw(G.edit_pairs(t.suggestion)).select("suggestion_id", "rouge_w_p", "rouge_w_r", "rouge_w_f"))
+    return rounded(G.rouge_w(G.edit_pairs(t.suggestion)))
 
 
 @query("user_score")
@@ -109,7 +109,7 @@ def all_scores(t):
 
 
 def ngram_scores(t):
-    return G.rouge_n(G.edit_pairs(t.suggestion))
+    return G.score_edits(G.edit_pairs(t.suggestion), NGRAM)
 
 
 METRICS = f"""
@@ -285,7 +285,7 @@ def _(t):
     """Score what is done, store it, then score and append only the rest."""
     path = scratch_path(t.spark, "metrics")
     first = G.edit_pairs(S.scan_all(t.suggestion, where={"status": "done"}))
-    S.write_increment(rounded(G.rouge_n(first)), path)
-    rest = S.unscored(G.edit_pairs(t.suggestion), t.spark.read.parquet(path))
-    S.write_increment(rounded(G.rouge_n(rest)), path)
+    S.write_increment(rounded(G.score_edits(first, NGRAM)), path)
+    rest = G.edit_pairs(t.suggestion, stored=t.spark.read.parquet(path))
+    S.write_increment(rounded(G.score_edits(rest, NGRAM)), path)
     return t.spark.read.parquet(path)

@@ -11,6 +11,7 @@ from draftlens.plans.registry import query, sql_list
 from draftlens.sources.scenes import scene_entries, story_exports, read_story_json
 from draftlens.sources.wordlists import STOPWORDS, load_word_list
 from draftlens.session import scratch_path
+from draftlens.sources.tables import spread
 
 # The same patterns spelled for RE2, which has ASCII \w and no look-ahead.
 W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
@@ -61,7 +62,7 @@ def sql_cut_last(text: str, piece: str) -> str:
 
 
 def documents(t):
-    return t.raw("documents")
+    return spread(t.raw("documents").select("doc_id", "text"), "doc_id")
 
 
 @query("tokenize", f"""

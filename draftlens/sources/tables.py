@@ -14,6 +14,16 @@ from draftlens.session import tune
 from draftlens.sources.derive import DERIVED, derive_sql
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a table comes in too few pieces.
+
+    One row group is read by one task however large it is. A table with at
+    least one piece per core is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazily opened raw and domain tables of one data folder."""
 
@@ -75,4 +85,4 @@ class Tables:
         return self._derived("preprocess_log")
 
 
-__all__ = ["Tables", "DERIVED"]
+__all__ = ["Tables", "spread", "DERIVED"]
