@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.functions.text import trim_to_limit, trim_to_sentence
+from draftlens.functions.text import let, trim_to_limit, trim_to_sentence
 
 MAX_LENGTH = 250
 UNIT = "words"
@@ -18,9 +18,16 @@ def clean_suggestions(responses: DataFrame, unit: str = UNIT, limit: int = MAX_L
     An unchanged text is a failure. Text beyond the limit is cut; complete or
     cut text then loses a trailing fragment and is done, the rest goes on.
     """
-    same = F.col("previous") == F.col("response")
-    rows = responses.withColumn("cut", trim_to_limit(F.col("response"), unit, limit))
-    rows = rows.withColumn("ended", F.col("complete") | (F.col("cut") != F.col("response")))
-    return rows.withColumn(
-        "text", F.when(same, F.col("previous")).when(F.col("ended"), trim_to_sentence(F.col("cut"))).otherwise(F.col("cut"))
-    ).withColumn("status", F.when(same, "failed").when(F.col("ended"), "done").otherwise("executing")).drop("cut", "ended")
+    response = F.col("response")
+
+    def outcome(cut):
+        ended = F.col("complete") | (cut != response)
+        return F.struct(
+            F.when(ended, "done").otherwise("executing").alias("status"),
+            F.when(ended, trim_to_sentence(cut)).otherwise(cut).alias("text"),
+        )
+
+    unchanged = F.struct(F.lit("failed").alias("status"), F.col("previous").alias("text"))
+    result = F.when(F.col("previous") == response, unchanged).otherwise(let(trim_to_limit(response, unit, limit), outcome))
+    rest = [c for c in responses.columns if c not in ("status", "text")]
+    return responses.withColumn("_r", result).select(*rest, "_r.status", "_r.text")

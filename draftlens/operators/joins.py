@@ -11,12 +11,16 @@ TOP_SALTS = 64
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow side for broadcast only when counting proves it small.
+    """A narrow side ready for broadcast, only when reading proves it small.
 
-    A larger side is returned as it is, for a shuffled join that AQE may split.
+    At most ``max_rows`` + 1 rows are read. When that is all of them, they stand
+    in for the plan that made them, which so runs once. A larger side is
+    returned as it is, for a shuffled join that AQE may split.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

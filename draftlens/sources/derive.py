@@ -78,21 +78,22 @@ SELECT d.doc_id AS id, md5(concat('s', CAST(d.doc_id AS STRING))) AS uuid,
             WHEN d.lang = 'fr' THEN d.text
             ELSE concat(replace(replace(substr(d.text, 1 + CAST(floor(length(d.text) / 4) AS INT)),
                                         ' the ', ' that '), ' de ', ' '),
-                        ' ', b.text, ' ',
+                        ' Nobody spoke for a while. ',
                         substr(d.text, 1, CAST(floor(length(d.text) / 4) AS INT))) END AS finalized
 FROM {documents} d
 LEFT JOIN {labels} l ON l.doc_id = d.doc_id
-LEFT JOIN {benchmark} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {benchmark})
 """
 
 # Ratings exist for labelled documents only, with gaps by label.
-DERIVED["feedback"] = """
-SELECT md5(concat('s', CAST(l.doc_id AS STRING))) AS suggestion_id, f.type,
-       CAST(1 + (l.doc_id + 3 * f.idx + 2 * l.quality + (l.doc_id % 7) * f.idx) % 5 AS STRING) AS response
-FROM {labels} l CROSS JOIN (SELECT 0 AS idx, 'fluency' AS type UNION ALL SELECT 1, 'relevance'
-     UNION ALL SELECT 2, 'coherence' UNION ALL SELECT 3, 'likeability') f
-WHERE NOT (f.type = 'likeability' AND l.quality = 0) AND NOT (f.type = 'coherence' AND l.toxic = 1)
-UNION ALL
+DERIVED["feedback"] = " UNION ALL ".join(
+    f"""
+SELECT md5(concat('s', CAST(doc_id AS STRING))) AS suggestion_id, '{kind}' AS type,
+       CAST(1 + (doc_id + {3 * idx} + 2 * quality + (doc_id % 7) * {idx}) % 5 AS STRING) AS response
+FROM {{labels}} WHERE {present}
+"""
+    for idx, (kind, present) in enumerate([
+        ("fluency", "true"), ("relevance", "true"), ("coherence", "toxic = 0"), ("likeability", "quality = 1")])
+) + """ UNION ALL
 SELECT md5(concat('s', CAST(doc_id AS STRING))) AS suggestion_id, 'comments' AS type,
        concat('note ', CAST(doc_id AS STRING)) AS response
 FROM {labels} WHERE quality = 1

@@ -32,9 +32,12 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = tune(spark)
         self.path = path.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._raw[name]
 
     def _derived(self, name: str) -> DataFrame:
         text, raw_names = derive_sql(name)
