@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftlens.functions.values import parse_datetime
 from draftlens.sources.schemas import (AUTOTEXT_TYPES, CARD_NAMESPACES, CARD_PRETTY_NAMESPACES,
-                                       ENTRY_FORMATS, HAND, ROLE_PATTERN, SCENE_ENTRY, STORY)
+                                       ENTRY_FORMATS, HAND, ROLE_PATTERN, SCENE_ENTRY, STORY, WILD_EXCHANGES)
 
 # The exported columns in order.
 CONTEXT_COLUMNS = (
@@ -75,9 +78,31 @@ def context_reject_audit(contexts: DataFrame) -> DataFrame:
     ).where("reason IS NOT NULL")
 
 
+def _card_ok(c: Column) -> Column:
+    given = [c[name].isNotNull() for name in ("card_id", "polarity", "is_deleted", "is_wild")]
+    named = c["namespace"].isin(*CARD_NAMESPACES) & c["pretty_namespace"].isin(*CARD_PRETTY_NAMESPACES)
+    exchange = c["via_wild_exchanged_for"]
+    return reduce(and_, given) & F.coalesce(named, F.lit(False)) & (
+        exchange.isNull() | exchange.isin(*WILD_EXCHANGES))
+
+
 def _cards_ok(cards: Column) -> Column:
-    return F.forall(cards, lambda c: c["card_id"].isNotNull() & F.coalesce(
-        c["namespace"].isin(*CARD_NAMESPACES) & c["pretty_namespace"].isin(*CARD_PRETTY_NAMESPACES), F.lit(False)))
+    return F.coalesce(F.forall(cards, _card_ok), F.lit(True))
+
+
+def _card_or_none(card: Column) -> Column:
+    return card.isNull() | _card_ok(card)
+
+
+def _autotext_ok(a: Column) -> Column:
+    return (F.coalesce(a["type"].isin(*AUTOTEXT_TYPES), F.lit(False)) & a["automatic"].isNotNull()
+            & a["text"].isNotNull() & _card_or_none(a["card"]) & _card_or_none(a["new_card"]))
+
+
+def _hand_ok(hand: Column) -> Column:
+    """Missing hands are told apart from malformed ones by the caller."""
+    stacks = F.forall(F.from_json(hand, HAND), lambda c: c["card_id"].isNotNull() & c["stack_size"].isNotNull())
+    return F.coalesce(hand.startswith("unchanged") | stacks, F.lit(False))
 
 
 REQUIRED = ("user_pid", "seq_id", "format", "pretty_format", "role", "created_at", "hand_context",
@@ -94,9 +119,10 @@ def entry_validate(entries: DataFrame, col: str = "entry") -> DataFrame:
         (~e["format"].isin(*ENTRY_FORMATS), "format"),
         (~e["role"].rlike(ROLE_PATTERN), "role"),
         (e["created_at"].isNotNull() & parse_datetime(e["created_at"]).isNull(), "created_at"),
-        (~_cards_ok(e["challenge_cards"]) | ~_cards_ok(e["cards_played_on_challenge"])
-         | ~_cards_ok(e["cards_for_pickup"]), "cards"),
-        (~F.forall(e["autotexts"], lambda a: a["type"].isin(*AUTOTEXT_TYPES) & a["text"].isNotNull()), "autotexts"),
+        (e["hand_context"].isNotNull() & ~(_hand_ok(e["hand_context"]["pre"]) & _hand_ok(e["hand_context"]["post"])), "hand"),
+        (~(_cards_ok(e["challenge_cards"]) & _cards_ok(e["cards_played_on_challenge"]) & _cards_ok(e["cards_for_pickup"])
+           & _card_or_none(e["target_challenge_card"]) & _card_or_none(e["place_card"])), "cards"),
+        (~F.forall(e["autotexts"], _autotext_ok), "autotexts"),
     ]
     broken = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for test, name in rules]))
     return entries.withColumn("_e", F.from_json(col, SCENE_ENTRY)).withColumn(
@@ -142,10 +168,11 @@ def hand_fill(entries: DataFrame, block: int = 4096) -> DataFrame:
     onward.
     """
     fields = "struct<role:string,hand_context:struct<pre:string,post:string>>"
-    e = F.from_json("entry", fields)
+    e = F.col("e")
     known = lambda side: F.when(e["hand_context"][side] != "unchanged", e["hand_context"][side])
     group = ["game_pid", "scene", "role"]
-    rows = entries.select(
+    read = entries.select("game_pid", "scene", "turn", F.from_json("entry", fields).alias("e"))
+    rows = read.select(
         "game_pid", "scene", e["role"].alias("role"), "turn", known("pre").alias("pre"), known("post").alias("post"),
         F.floor(F.col("turn") / block).alias("block"))
     # What the hand is known to be after each entry, if the entry tells.

@@ -59,10 +59,3 @@ STORY = _struct(
     scenes=T.ArrayType(_struct("", entries=T.ArrayType(_struct("description:string")))),
     characters=T.ArrayType(_struct("character_seq_id:string name:string description:string")),
 )
-
-# Fixed value: how a type of a record field maps to a column type.
-COLUMN_TYPES = {
-    "str": "string", "int": "integer", "bool": "boolean", "float": "double", "bytes": "binary",
-    "enum": "string", "json": "variant", "uuid": "string", "date": "date", "time": "string",
-    "datetime": "timestamp",
-}

@@ -89,7 +89,8 @@ def test_clean_suggestions(spark):
 
 
 def entry(**changes):
-    card = {"card_id": "k", "namespace": "goal", "pretty_namespace": "Goal", "name": "n", "description": "d"}
+    card = {"card_id": "k", "namespace": "goal", "pretty_namespace": "Goal", "name": "n", "description": "d",
+            "polarity": 0, "is_deleted": False, "is_wild": False}
     base = {
         "user_pid": "u", "seq_id": "1", "format": "move", "pretty_format": "Move", "character_seq_id": "1",
         "role": "character:1", "description": "text", "created_at": "2024-1-2 3:4:5 UTC",
@@ -104,6 +105,10 @@ def entry(**changes):
     (entry(), ""), (entry(format="dance"), "format"), (entry(role="director"), "role"), (entry(role="narrator"), ""),
     (entry(created_at="noon"), "created_at"), (entry(user_pid=None), "missing user_pid"),
     (entry(challenge_cards=[{"card_id": "x", "namespace": "nowhere", "pretty_namespace": "Goal"}]), "cards"),
+    (entry(target_challenge_card={"card_id": "x", "namespace": "goal", "pretty_namespace": "Goal"}), "cards"),
+    (entry(hand_context={"pre": "unchanged", "post": "lost"}), "hand"),
+    (entry(hand_context={"pre": "unchanged", "post": [{"card_id": "k"}]}), "hand"),
+    (entry(autotexts=[{"type": "giveCard", "automatic": True, "text": "t", "card": None}]), ""),
     (entry(autotexts=[{"type": "fly", "automatic": True, "text": "t"}]), "autotexts"),
 ])
 def test_entry_validate(spark, text, errors):
