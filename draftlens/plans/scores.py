@@ -183,9 +183,17 @@ def _corr_sql(metrics, by: str) -> str:
     head = f"{by}, " if by else ""
     one = lambda i, j: (
         f"SELECT {head}'{metrics[i]}' AS metric1, '{metrics[j]}' AS metric2, count(*) AS n, "
-        f"CASE WHEN count(*) >= 2 THEN round(covar_pop({cols[i]}, {cols[j]}) / nullif(sqrt(var_pop({cols[i]}) * var_pop({cols[j]})), 0), 6) END AS r "
+        f"CASE WHEN count(*) >= 2 THEN round(covar_pop({cols[i]}, {cols[j]}) / nullif(sqrt(var_pop({cols[i]}) * var_pop({cols[j]})), 0), 6) END AS q, "
+        f"CASE WHEN abs(q) = 0 THEN 0.0 ELSE q END AS r "
         f"FROM mt WHERE {cols[i]} IS NOT NULL AND {cols[j]} IS NOT NULL" + (f" GROUP BY {by}" if by else " HAVING count(*) > 0"))
-    return " UNION ALL ".join(one(i, j) for i, j in combinations(range(len(cols)), 2))
+    # A negative zero counts as zero on both sides.
+    rows = " UNION ALL ".join(one(i, j) for i, j in combinations(range(len(cols)), 2))
+    return f"SELECT {head}metric1, metric2, n, r FROM ({rows})"
+
+
+def shown(matrix):
+    r = F.round("r", 6)
+    return matrix.drop("p").withColumn("r", F.when(r == 0, F.lit(0.0)).otherwise(r))
 
 
 CHECKED = RATED + NGRAM
@@ -203,12 +211,12 @@ def _(t):
 
 @query("correlations_ngram", f"WITH {METRICS} {_corr_sql(CHECKED, '')}", CORE + " feedback")
 def _(t):
-    return T.correlations(table(t, ngram_scores(t)), CHECKED).drop("p").withColumn("r", F.round("r", 6))
+    return shown(T.correlations(table(t, ngram_scores(t)), CHECKED))
 
 
 @query("correlations_by_model_ngram", f"WITH {METRICS} {_corr_sql(CHECKED, 'model_name')}", CORE + " feedback")
 def _(t):
-    return T.correlations(table(t, ngram_scores(t)), CHECKED, by_model=True).drop("p").withColumn("r", F.round("r", 6))
+    return shown(T.correlations(table(t, ngram_scores(t)), CHECKED, by_model=True))
 
 
 @query("correlation_flags")
