@@ -78,40 +78,40 @@ def _fill_together(pairs: list[tuple[list[str], list[str]]], power: float) -> li
     sides = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
     n = max(len(a) for a, _ in sides)
     m = max(len(b) for _, b in sides)
-    x = np.full((len(sides), n), -1, np.int32)
-    y = np.full((len(sides), m), -2, np.int32)
+    wide = len(sides)
+    # One column per pair, so the part of a diagonal in use is one flat block.
+    x = np.full((n, wide), -1, np.int32)
+    y = np.full((m, wide), -2, np.int32)
     ends: dict[int, list[int]] = defaultdict(list)
-    for row, (a, b) in enumerate(sides):
+    for col, (a, b) in enumerate(sides):
         codes: dict[str, int] = {}
-        x[row, : len(a)] = [codes.setdefault(t, len(codes)) for t in a]
-        y[row, : len(b)] = [codes.setdefault(t, len(codes)) for t in b]
-        ends[len(a) + len(b)].append(row)
-    y = y[:, ::-1].copy()
+        x[: len(a), col] = [codes.setdefault(t, len(codes)) for t in a]
+        y[: len(b), col] = [codes.setdefault(t, len(codes)) for t in b]
+        ends[len(a) + len(b)].append(col)
+    x, y = x.ravel(), y[::-1].ravel()
     weight = np.arange(n + 2, dtype=np.float64) ** power
     gain = weight[1:] - weight[:-1]
-    # Column i of a diagonal is table row i; row 0 and column 0 of the table hold
+    # Row i of a diagonal is table row i; row 0 and column 0 of the table hold
     # zeros. Scores rotate through three buffers, runs of matches likewise.
-    score2, score1, score = (np.zeros((len(sides), n + 1)) for _ in range(3))
-    run2, run1, run = (np.zeros(len(sides) * (n + 1), np.int32) for _ in range(3))
+    score2, score1, score = (np.zeros((n + 1) * wide) for _ in range(3))
+    run2, run1, run = (np.zeros((n + 1) * wide, np.int32) for _ in range(3))
     old2, old1, old = (np.empty(0, np.int64) for _ in range(3))
-    out = [0.0] * len(sides)
+    out = [0.0] * wide
     for d in range(2, max(ends) + 1):
         lo, hi = max(1, d - m), min(n, d - 1)
-        start = m - d + lo
-        part = score[:, lo : hi + 1]
-        np.maximum(score1[:, lo - 1 : hi], score1[:, lo : hi + 1], out=part)
+        # Row i meets column d - i; y is reversed, so both run upwards.
+        at, size, other = lo * wide, (hi - lo + 1) * wide, (m - d + lo) * wide
+        np.maximum(score1[at - wide : at - wide + size], score1[at : at + size], out=score[at : at + size])
         run[old] = 0
-        same = x[:, lo - 1 : hi] == y[:, start : start + hi - lo + 1]
-        hits = np.flatnonzero(same.ravel())
-        # Matches as positions in a whole diagonal.
-        rows = hits // (hi - lo + 1)
-        old = hits + rows * (n + lo - hi) + lo
-        if len(hits):
-            k = run2[old - 1]
-            score.ravel()[old] = score2.ravel()[old - 1] + gain[k]
+        old = np.flatnonzero(x[at - wide : at - wide + size] == y[other : other + size])
+        if len(old):
+            old += at
+            before = old - wide
+            k = run2[before]
+            score[old] = score2[before] + gain[k]
             run[old] = k + 1
-        for row in ends.get(d, ()):
-            out[row] = float(score[row, len(sides[row][0])])
+        for col in ends.get(d, ()):
+            out[col] = float(score[len(sides[col][0]) * wide + col])
         score2, score1, score = score1, score, score2
         run2, run1, run = run1, run, run2
         old2, old1, old = old1, old, old2
