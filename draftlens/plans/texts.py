@@ -65,6 +65,10 @@ def documents(t):
     return spread(t.raw("documents").select("doc_id", "text"), "doc_id")
 
 
+def suggestions(t):
+    return spread(t.suggestion, "id", scan=t.raw("documents"))
+
+
 @query("tokenize", f"""
 SELECT doc_id, len(k) AS n, array_to_string(k, ' ') AS tokens FROM (SELECT doc_id, {sql_tokens('text')} AS k FROM documents)
 """)
@@ -209,7 +213,7 @@ SELECT uuid, CASE WHEN previous = response THEN 'failed' WHEN done THEN 'done' E
 FROM c
 """, "suggestion")
 def _(t):
-    rows = spread(t.suggestion, "id").select("uuid", F.col("generated").alias("previous"), F.coalesce("finalized", F.lit("")).alias("response"),
+    rows = suggestions(t).select("uuid", F.col("generated").alias("previous"), F.coalesce("finalized", F.lit("")).alias("response"),
                                (F.col("status") == "done").alias("complete"))
     return clean_suggestions(rows).select("uuid", "status", "text")
 
@@ -250,7 +254,7 @@ g AS (SELECT uuid, list_transform(range(0, (len(a) + 2) // 3), lambda i: array_t
 SELECT uuid, len(list_distinct(list_intersect(a, b))) AS shared FROM g
 """, "suggestion")
 def _(t):
-    rows = spread(t.suggestion.where("is_finalized"), "id").select("uuid", X.ws_tokens(F.col("generated")).alias("a"), X.ws_tokens(F.col("finalized")).alias("b"))
+    rows = suggestions(t).where("is_finalized").select("uuid", X.ws_tokens(F.col("generated")).alias("a"), X.ws_tokens(F.col("finalized")).alias("b"))
     rows = rows.select("uuid", X.chunk_grams(F.col("a")).alias("a"), X.chunk_grams(F.col("b")).alias("b"))
     return rows.select("uuid", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
 

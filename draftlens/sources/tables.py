@@ -14,14 +14,17 @@ from draftlens.session import tune
 from draftlens.sources.derive import DERIVED, derive_sql
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when a table comes in too few pieces.
+def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
+    """Rows over all cores when their table comes in too few pieces.
 
-    One row group is read by one task however large it is. A table with at
-    least one piece per core is returned as it is, without a shuffle.
+    One row group is read by one task however large it is. Rows of a table with
+    at least one piece per core are returned as they are, without a shuffle.
+    ``scan`` is the plain table that ``df`` is derived from; counting the pieces
+    of a plain scan runs nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    pieces = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(cores, key) if pieces < cores else df
 
 
 class Tables:
