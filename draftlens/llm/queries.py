@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlens.llm.common import table
+from draftlens.llm.repeated_bytes import repeated_bytes
 from draftlens.llm.substring_dedup import maximal_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,25 @@ FROM w LEFT JOIN g USING (doc_id)
 def op1(spark, path):
     found = maximal_repeats(table(spark, path, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_suffix_array_dedup", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 AS BIGINT))) AS i FROM b),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x,
+             CASE WHEN 2 * i + 400 <= len(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS win FROM p),
+f AS (SELECT doc_id, i, x, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM k),
+c AS (SELECT doc_id, i, x,
+             max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone
+      FROM f),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c),
+g AS (SELECT doc_id, sum(gone) AS n, sum(CAST(opens AS INT)) AS spans,
+             string_agg(x, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN g USING (doc_id)
+""")
+def op8(spark, path):
+    found = repeated_bytes(table(spark, path, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
