@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from draftlens.llm import common as C
 from draftlens.llm import rolling as R
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def sliced(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -96,7 +96,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come after all others, in order of their text's hash. Other columns are ignored.
     """
     width = C.partitions(docs.sparkSession)
-    n_slices, n_buckets = n_slices or 8 * width, n_buckets or 4 * width
+    n_slices, n_buckets = n_slices or 4 * width, n_buckets or width
     block = (window + 1) // 2
     rows = sliced(docs, id_col, text_col, n_slices)
 
