@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftlens.llm import bpe, mixing, quality, simhash
 from draftlens.llm.common import table
 from draftlens.llm.repeated_bytes import repeated_bytes
 from draftlens.llm.substring_dedup import maximal_repeats
 
+#: The tokenizer's rank file.
+RANKS = "byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -63,3 +67,47 @@ def op8(spark, path):
     found = repeated_bytes(table(spark, path, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_mixing", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+      FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size AS cap, 3 * source_size / w AS ratio, sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+m AS (SELECT *, least(CAST(cap AS DOUBLE), max(CASE WHEN level <= ratio THEN level END) OVER () * w) AS target FROM l),
+t AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM m),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
+SELECT doc_id, p.source, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - ahead)) AS BIGINT) AS taken
+FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+""")
+def op2(spark, path):
+    return mixing.mix(table(spark, path, "documents"))
+
+
+@query("op5_byte_bpe")
+def op5(spark, path):
+    import public_tokenizers
+
+    name = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    rows = bpe.decode(bpe.encode(docs, *name).drop("text"), *name)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_quality_classifier")
+def op7(spark, path):
+    rows = quality.select(table(spark, path, "documents").select("doc_id", "text"), table(spark, path, "labels"))
+    return rows.select("doc_id", "importance", "key", "kept")
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, path):
+    rows = simhash.near_duplicates(table(spark, path, "documents"))
+    return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
