@@ -149,7 +149,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     but to deal the rows, and may be null or repeated. Other columns are ignored.
     """
     width = C.partitions(docs.sparkSession)
-    n_slices, n_buckets = n_slices or 4 * width, n_buckets or width
+    n_slices, n_buckets = n_slices or 4 * width, n_buckets or max(1, width // 2)
     rows = sliced(docs, id_col, text_col, n_slices)
 
     def parsed(table: pa.Table):
