@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlens.llm import bpe, mixing, quality, simhash
+from draftlens.llm import bpe, chat, html_text, mixing, quality, simhash
 from draftlens.llm.common import table
 from draftlens.llm.repeated_bytes import repeated_bytes
 from draftlens.llm.substring_dedup import maximal_repeats
@@ -111,3 +111,37 @@ def op7(spark, path):
 def op9(spark, path):
     rows = simhash.near_duplicates(table(spark, path, "documents"))
     return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op4_html_extraction")
+def op4(spark, path):
+    rows = html_text.main_text(table(spark, path, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+PROBE = r"\### Assistant: </turn> ok"
+
+
+@query("op6_chat_formatting", rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+e AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, true) AS opens,
+             2 * length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '>', '')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE WHEN opens THEN 15 + length(role) ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op6(spark, path):
+    probe = [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)]
+    turns = table(spark, path, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    rows = chat.chat_format(turns)
+    read = chat.read_turns(F.col("formatted"))
+    rows = rows.select("conv_id", read.alias("turns"), chat.read_loss(F.col("segments")).alias("loss"), "formatted")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
