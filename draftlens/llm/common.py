@@ -52,6 +52,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
+def row_hash(docs: DataFrame) -> F.Column:
+    """One hash of all columns of a row."""
+    return F.xxhash64(*[docs[c] for c in docs.columns])
+
+
 # Packed columns: byte planes under zstd, so that sorted numbers shrink.
 
 

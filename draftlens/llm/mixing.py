@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.llm.common import WORD, word_count
+from draftlens.llm.common import WORD, row_hash, word_count
 
 #: Times that a source may be repeated.
 EPOCHS = 3
@@ -44,18 +44,18 @@ def by_code_point() -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight: Column | None = None, seed: str = "mix") -> DataFrame:
+        weight: Column | None = None, seed: str = "mix", rows_too: bool = False) -> DataFrame:
     """What the mix takes of every document, in words.
 
     One row per input row: doc_id, source, size, source_size, target (its source's),
-    taken (repeats counted). A null text has size 0 and is not taken. A null source
+    taken (repeats counted); with ``rows_too``, also row (a hash of its columns). A null text has size 0 and is not taken. A null source
     is a source. Rows tie only if id and size agree, and then either may be cut;
     null ids share one key and are ordered by size. Other columns are ignored.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"),
                        F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit("")).alias("src"),
-                       word_count(docs[text_col]).alias("size"), key.alias("key"))
+                       word_count(docs[text_col]).alias("size"), row_hash(docs).alias("row") if rows_too else F.lit(0).alias("row"), key.alias("key"))
     rows = rows.withColumn("part", F.substring("key", 1, DIGITS)).repartition("src", "part")
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("n"), F.first("source", True).alias("source"))
     sources = parts.groupBy("src").agg(F.sum("n").alias("source_size"), F.first("source", True).alias("source"))
@@ -69,19 +69,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     within = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["src", "part"])
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("ahead")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    taken = (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken, *(["row"] if rows_too else []))
 
 
-def apply(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mix itself: whole copies, and the words of a cut one joined by blanks.
+def apply(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of ``docs``, which has doc_id, text and source.
 
-    ``taken`` is what ``mix`` returned for these documents; equal rows (id and
-    source) are told apart by size only, so ids should be unique in a source.
+    A document comes once for each whole copy taken; of a cut copy come its first
+    words, joined by blanks. Rows that agree in all columns share what is taken of
+    them. Documents of which nothing is taken (texts without words among them) go.
     """
-    plan = taken.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken")
-    rows = docs.join(plan, docs.doc_id.eqNullSafe(F.col("_id")) & docs.source.eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
+    plan = mix(docs, rows_too=True).where("taken > 0")
+    plan = plan.groupBy("row", "size").agg(F.sum("taken").alias("_taken")).select(F.col("row").alias("_row"), F.col("size").alias("_size"), "_taken")
+    rows = docs.withColumn("_key", row_hash(docs)).join(plan, F.col("_key") == F.col("_row"))
+    same = Window.partitionBy("_key")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_j", F.row_number().over(same.orderBy("_size")))
+    share = F.floor(F.col("_taken") * F.col("_j") / F.col("_n")) - F.floor(F.col("_taken") * (F.col("_j") - 1) / F.col("_n"))
+    rows = rows.withColumn("_taken", share).where("_taken > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
-    text = F.when(left < F.col("size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.withColumn("text", F.when(left < F.col("_size"), cut).otherwise(F.col("text"))).select(*docs.columns)

@@ -19,6 +19,9 @@ from draftlens.llm import rolling as R
 #: Hash buckets of the n-gram models.
 BUCKETS = 10_000
 
+#: Tokens a bucket that the good model starts from.
+PRIOR = 1000
+
 #: At most so many labelled rows of either kind, lowest id hash first, are read to fit.
 LABELLED = 20_000
 
@@ -76,11 +79,16 @@ def _labelled(labels: DataFrame, quality: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log ratio of each bucket: good model over raw model, one added to each count."""
+    """Log ratio of each bucket: good model over raw model.
+
+    The good model starts from PRIOR tokens a bucket, spread as the raw model is, so
+    that a bucket of which little is known tells nothing for or against a text.
+    """
     good, raw = _counts(docs, id_col, text_col, _labelled(labels, 1))
     if not good.any():
         return np.zeros(BUCKETS)
-    return np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    share = (raw + 1) / (raw.sum() + BUCKETS)
+    return np.log((good + PRIOR * BUCKETS * share) / (good.sum() + PRIOR * BUCKETS)) - np.log(share)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,17 +141,21 @@ def _look_up(bucket, value, known_bucket, known_value) -> np.ndarray:
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
+                   carry: tuple[str, ...] = (), as_text: bool = False,
                    n_slices: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """Remove bytes inside strings of ``length`` bytes that start more than once.
 
     One row per input row: doc_id, n_bytes, n_removed, spans (byte ranges removed,
     maximal), kept (the other bytes, end to end). A null or empty text has no bytes.
     Repeated rows are separate documents, so their strings repeat; ids play no part
-    but to deal the rows, and may be null or repeated. Other columns are ignored.
+    but to deal the rows, and may be null or repeated. Other columns are ignored,
+    but for those in ``carry``, which come back as the struct ``rest``. With
+    ``as_text``, kept is text: what is left of a character cut in part goes too, and
+    a null text stays null.
     """
     width = C.partitions(docs.sparkSession)
     n_slices, n_buckets = n_slices or 4 * width, n_buckets or max(1, width // 2)
-    rows = sliced(docs, id_col, text_col, n_slices)
+    rows = sliced(docs, id_col, text_col, n_slices, carry)
 
     def parsed(table: pa.Table):
         raw, off = C.texts(table.column("text"))
@@ -218,8 +223,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _answer(table, owner[back], value[back])
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in OUT.items()})
         docs_, _ = ordered(docs_)
         raw, off = C.texts(docs_.column("text"))
         told, strings = _told(answers, 0, "u4", "u8", "u1"), _told(answers, 1, "u8")
@@ -234,21 +237,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        return _kept(docs_, raw, off, gone)
+        out = _kept(docs_, raw, off, gone, as_text)
+        return out.append_column("rest", docs_.column("rest")) if carry else out
 
     sent = rows.groupBy("slice").applyInArrow(phrases, SENT)
     known = sent.groupBy("bucket").applyInArrow(dictionary, SENT).select(F.lit(0).alias("kind"), "*")
     found = rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(singly, SENT)
     same = found.groupBy("bucket").applyInArrow(neighbours, SENT).select(F.lit(1).alias("kind"), "*")
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept " + ("string" if as_text else "binary")
+    if carry:
+        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
     return rows.groupBy("slice").cogroup(known.unionAll(same).groupBy("slice")).applyInArrow(remove, schema)
 
 
-OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(),
-       "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
-
-
-def _kept(docs_: pa.Table, raw: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Table:
+def _kept(docs_: pa.Table, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, as_text: bool) -> pa.Table:
     n = docs_.num_rows
     at = np.flatnonzero(gone)
     cut = np.zeros(len(raw) + 1, bool)
@@ -260,9 +262,18 @@ def _kept(docs_: pa.Table, raw: np.ndarray, off: np.ndarray, gone: np.ndarray) -
     owner = np.searchsorted(off, lo, "right") - 1
     spans = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
     items = pa.StructArray.from_arrays([pa.array(lo - off[owner], pa.int64()), pa.array(hi - off[owner], pa.int64())], ["begin", "end"])
-    stays = np.concatenate([[0], np.cumsum(~gone)])[off]
-    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(stays.astype(np.int64).tobytes()), pa.py_buffer(raw[~gone].tobytes())])
     size = np.diff(off)
+    removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[off])
+    if as_text and gone.any():
+        heads = np.flatnonzero((raw & 0xC0) != 0x80)
+        gone = np.repeat(np.logical_or.reduceat(gone, heads), np.diff(np.append(heads, len(raw))))
+    stays = np.concatenate([[0], np.cumsum(~gone)])[off]
+    buffers = [None, pa.py_buffer(stays.astype(np.int64).tobytes()), pa.py_buffer(raw[~gone].tobytes())]
+    if as_text:
+        kept = pa.LargeStringArray.from_buffers(n, buffers[1], buffers[2])
+        kept = pc.if_else(docs_.column("text").combine_chunks().is_null(), None, kept).cast(pa.string())
+    else:
+        kept = pa.Array.from_buffers(pa.large_binary(), n, buffers).cast(pa.binary())
     return pa.table({"doc_id": docs_.column("doc_id"), "n_bytes": pa.array(size, pa.int64()),
-                     "n_removed": pa.array(size - np.diff(stays), pa.int64()),
-                     "spans": pa.ListArray.from_arrays(pa.array(spans), items), "kept": kept.cast(pa.binary())})
+                     "n_removed": pa.array(removed, pa.int64()),
+                     "spans": pa.ListArray.from_arrays(pa.array(spans), items), "kept": kept})

@@ -59,14 +59,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (64 bits as a signed long) of every row."""
+    """doc_id, row (a hash of all columns) and fp (64 bits as a signed long) of every row."""
 
     def batch(rows):
         for b in rows:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "row", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(batch, "doc_id long, fp long")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), C.row_hash(docs).alias("row"), docs[text_col].alias("text"))
+    return rows.mapInArrow(batch, "doc_id long, row long, fp long")
 
 
 def _masks(distance: int) -> list[int]:
@@ -161,7 +162,8 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """Group texts whose fingerprints are linked, directly or through others.
 
-    One row per input row: doc_id, fp, component_id (smallest id of the component).
+    One row per input row: doc_id, row (a hash of its columns), fp, component_id
+    (smallest id of the component), root (a fingerprint that names the component).
     Texts without words (null, empty, blanks) have fingerprint zero and are linked
     like any other. Repeated rows and repeated ids are fine. Rows without an id join
     components but never name one; a component of such rows only has a null id.
@@ -172,8 +174,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = C.components(links(lowest.select("fp"), distance))
     named = lowest.join(roots, lowest.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     whole = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(whole, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(whole, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "row", "fp", "component_id", "root")
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """One (doc_id, row) of each component: the smallest id, null last, then row."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # Equal fingerprints first, so that a hot component is not one group of rows.
+    low = groups.groupBy("root", "fp").agg(F.min(first).alias("low")).groupBy("root").agg(F.min("low").alias("low"))
+    return low.select("low.doc_id", "low.row")
 
 
 def hex_print(fp) -> F.Column:

@@ -26,12 +26,13 @@ from draftlens.llm import rolling as R
 PIECE = 2 << 20
 
 
-def sliced(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def sliced(docs: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, order key (ident, tie), text and slice; null ids come last, by text."""
+    rest = [F.struct(*carry).alias("rest")] if carry else []
     ident, text = docs[id_col].cast("long"), docs[text_col]
     out = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(C.LAST_ID)).alias("ident"),
                       F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")).alias("tie"),
-                      text.alias("text"))
+                      text.alias("text"), *rest)
     return out.withColumn("slice", F.pmod(F.xxhash64("ident", "tie"), F.lit(n)).cast("int"))
 
 
