@@ -1,12 +1,75 @@
-"""A corpus pipeline over documents; each stage is written and read again."""
+"""A corpus pipeline over documents: each stage works on what the one before kept.
+
+Stages, in order: reject low quality, keep one document of each near-duplicate
+group, remove repeated byte strings, mix sources to weights, encode. Each stage's
+rows are written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from draftlens.llm import bpe, mixing, quality, simhash
+from draftlens.llm.common import row_hash, save, table
+from draftlens.llm.queries import RANKS
+from draftlens.llm.repeated_bytes import repeated_bytes
 
-STAGES: list = []
+#: Some stages have no SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    rows = quality.select(docs, table(spark, sf_dir, "labels"))
+    return rows.where("kept").select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the smallest id.
+
+    Of several rows with that id the one whose columns hash lowest stays. Rows
+    without an id are kept only where no row of their group has one.
+    """
+    chosen = simhash.representatives(simhash.near_duplicates(docs)).select(F.col("row").alias("_row"))
+    rows = docs.withColumn("_key", row_hash(docs)).join(chosen, F.col("_key") == F.col("_row"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated strings; what is left of a character at a cut goes too."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = repeated_bytes(docs, carry=others, as_text=True)
+    return rows.select("doc_id", F.col("kept").alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    return mixing.apply(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document; texts are what the ids decode to."""
+    import public_tokenizers
+
+    name = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), *name).drop("text"), *name)
+    return rows.select("doc_id", "source", F.col("decoded").cast("string").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE", tokenize),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
