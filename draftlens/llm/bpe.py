@@ -25,10 +25,10 @@ NONE = np.int32(2**31 - 1)
 LONG = 1024
 
 #: Pieces that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 #: Characters of texts that are split at a time.
-GROUP = 1 << 21
+GROUP = 1 << 20
 
 
 class Vocabulary:
@@ -99,7 +99,7 @@ class Vocabulary:
         for high in (1, 2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, LONG):
             rows = np.flatnonzero((size > low) & (size <= high))
             low = high
-            step = max(1, (1 << 20) // high)
+            step = max(1, (1 << 18) // high)
             for k in range(0, len(rows), step):
                 self._matrix(pieces, rows[k:k + step], size, high, out)
         return out
@@ -221,25 +221,37 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Every row with the token ids (array of int) of its whole text.
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    A null or empty text has no ids. Strings that look like special tokens are
-    ordinary text. Rows, repeated ones too, are encoded each on its own; other
-    columns pass through, but for one named like the result, which is replaced.
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Every row with the token ids (array of int) of its whole text in place of the text.
+
+    With ``decoded_col``, also the bytes that these ids decode to. A null or empty
+    text has no ids. Strings that look like special tokens are ordinary text. Rows,
+    repeated ones too, are encoded each on its own; other columns pass through, but
+    for those named like a result, which are replaced.
     """
-    docs = docs.drop(out_col) if out_col != text_col else docs
+    docs = docs.drop(*[c for c in (out_col, decoded_col) if c and c != text_col])
     get, at = _vocabulary(docs.sparkSession, path, pattern), docs.columns.index(text_col)
+    rest = docs.drop(text_col)
 
     def run(batches):
         vocabulary = get()
-        for b in batches:
-            ids = vocabulary.encode([t or "" for t in b.column(at).to_pylist()])
-            off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield _with_column(b, out_col, pa.ListArray.from_arrays(pa.array(off), values))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                ids = vocabulary.encode([t or "" for t in b.column(at).to_pylist()])
+                off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+                if decoded_col:
+                    made.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32)).tobytes() for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([c for j, c in enumerate(b.columns) if j != at] + made, names)
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out_col}` array<int>")
+    names = [*rest.columns, out_col, *([decoded_col] if decoded_col else [])]
+    schema = [_types(rest)] * bool(rest.columns) + [f"`{out_col}` array<int>"] + [f"`{decoded_col}` binary"] * bool(decoded_col)
+    return docs.mapInArrow(run, ", ".join(schema))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -253,4 +265,4 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
             made = [b"" if x.values is None else vocabulary.decode(x.values.to_numpy()).tobytes() for x in b.column(at)]
             yield _with_column(b, out_col, pa.array(made, pa.binary()))
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out_col}` binary")
+    return rows.mapInArrow(run, _types(rows) + f", `{out_col}` binary")

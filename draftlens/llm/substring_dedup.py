@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from draftlens.llm import common as C
 from draftlens.llm import rolling as R
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def sliced(docs: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
