@@ -54,7 +54,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     name = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), *name).drop("text"), *name)
+    rows = bpe.encode(docs.select("doc_id", "source", "text"), *name, decoded_col="decoded")
     return rows.select("doc_id", "source", F.col("decoded").cast("string").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
