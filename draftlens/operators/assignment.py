@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlens.functions.values import month_floor
-from draftlens.operators.joins import bounded_broadcast, rank_by_hash
+from draftlens.operators.joins import rank_by_hash
 
 AS_OF = "2024-02-15"
 
 
-def monthly_totals(model, assignment, suggestion, as_of: str = AS_OF) -> DataFrame:
-    """Suggestions of each model since the start of the month of ``as_of``.
+def monthly_totals(model, assignment, suggestion, as_of: str = AS_OF, model_id: int | None = None) -> DataFrame:
+    """Suggestions of each model, or of one, since the start of the month of ``as_of``.
 
     Missing suggestions count as made on ``as_of``. So a model whose only
     suggestions are older has no row, and on the first of a month a model
@@ -20,6 +20,8 @@ def monthly_totals(model, assignment, suggestion, as_of: str = AS_OF) -> DataFra
     Work is summed per model before the registry is joined, so the large join is
     on the story hash and no key with many rows is shuffled.
     """
+    if model_id is not None:
+        model, assignment = model.where(F.col("id") == model_id), assignment.where(F.col("model_id") == model_id)
     today = F.lit(as_of).cast("date").cast("timestamp")
     start = month_floor(today)
     made = suggestion.select("story_hash", "ts", F.lit(1).alias("made"))
@@ -110,10 +112,10 @@ def reassign_stories(model, assignment, suggestion, as_of: str = AS_OF, strict:
     type without eligible models gets no new model.
     """
     bad = quota_violations(model, assignment, suggestion, as_of).select("model_id", "type", "reason")
-    moved = assignment.join(bounded_broadcast(bad), "model_id")
+    moved = assignment.join(bad, "model_id")
     key = F.md5(F.concat_ws(":", "story_hash", F.col("model_id").cast("string")))
     ranked = rank_by_hash(moved.withColumn("_key", key), "type", "_key").drop("_key")
-    stages = bounded_broadcast(_filling_stages(story_totals(model, assignment, suggestion, as_of, strict)))
+    stages = _filling_stages(story_totals(model, assignment, suggestion, as_of, strict))
     r = F.col("rank")
     placed = ranked.join(
         stages.withColumnRenamed("type", "stage_type"),

@@ -5,24 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many rows a side is never broadcast.
-BROADCAST_ROWS = 50_000
 TOP_SALTS = 64
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow side ready for broadcast, only when reading proves it small.
-
-    At most ``max_rows`` + 1 rows are read. When that is all of them, they stand
-    in for the plan that made them, which so runs once. A larger side is
-    returned as it is, for a shuffled join that AQE may split.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The keys and order columns of each key's first row.
 

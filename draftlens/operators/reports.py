@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlens.functions.values import round_avg_int, stddev_int
-from draftlens.operators.joins import BROADCAST_ROWS, bounded_broadcast, top_per_group
+from draftlens.operators.joins import top_per_group
 from draftlens.sources.wordlists import EXCLUDED_GAMES
 
 # Rating types in their declared order, then free text.
@@ -29,7 +29,7 @@ def type_ordinal(col: Column, types: tuple[str, ...] = FEEDBACK_TYPES) -> Column
 def live_models(model: DataFrame, status=ACTIVE) -> DataFrame:
     """Id and name of the models with one of the given states."""
     live = model.where(F.col("status").isin(*status))
-    return bounded_broadcast(live.select(F.col("id").alias("model_id"), F.col("name").alias("model_name")))
+    return live.select(F.col("id").alias("model_id"), F.col("name").alias("model_name"))
 
 
 def exclude_games(df: DataFrame, games=EXCLUDED_GAMES, col: str = "game_pid") -> DataFrame:
@@ -40,10 +40,8 @@ def exclude_games(df: DataFrame, games=EXCLUDED_GAMES, col: str = "game_pid") ->
     """
     if isinstance(games, DataFrame):
         words = games.toDF(col)
-        if words.isEmpty():
-            return df
-        known = df.where(F.col(col).isNotNull())
-        return known.join(bounded_broadcast(words), col, "left_anti")
+        none = words.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+        return df.join(words, col, "left_anti").where(F.col(col).isNotNull() | none)
     if not games:
         return df
     return df.where(F.col(col).isNotNull() & ~F.col(col).isin(*games))
@@ -99,8 +97,6 @@ def public_edits(model, assignment, suggestion, story, feedback, limit: int | No
     keys = finalized_keys(model, assignment, suggestion, story, **kwargs)
     chosen = keys.select("uuid", "model_name", "game_pid", "created_at").orderBy(
         "created_at", "uuid", "model_name").limit(limit)
-    if limit <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
     wanted = suggestion.join(chosen, ["uuid", "created_at"])
     ratings = feedback_wide(feedback.join(chosen.select("uuid").distinct(),
                                           F.col("suggestion_id") == F.col("uuid"), "left_semi"))
@@ -158,16 +154,12 @@ def judgement_contexts(model, assignment, suggestion, story, limit: int = 0, sta
                        games=EXCLUDED_GAMES) -> DataFrame:
     """The first ``limit`` finalized suggestions of each model; 0 means all.
 
-    Keys are ranked; the payload is fetched for the chosen rows only. The chosen
-    keys are broadcast when limit times models stays within the bound.
+    Keys are ranked; the payload is fetched for the chosen rows only.
     """
     keys = finalized_keys(model, assignment, suggestion, story, status, games).select("id", "model_name")
     payload = suggestion.where("is_finalized")
     if limit:
-        models = model.where(F.col("status").isin(*status)).limit(BROADCAST_ROWS + 1).count()
         keys = top_per_group(keys, "model_name", "id", limit).drop("rank")
-        if limit * models <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
     return payload.join(keys, "id").select(
         F.col("id").alias("suggestion_id"), "model_name", "story_hash", "generated", "finalized")
 

@@ -112,7 +112,7 @@ def stream(t, name: str):
     """A derived log as a stream over the raw events file."""
     from draftlens.sources.derive import derive_sql
 
-    events = J.read_log(t.spark, t.raw("events").schema, t.path, "events.parquet")
+    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
     text, _ = derive_sql(name)
     return t.spark.sql(text, events=events)
 
@@ -126,7 +126,7 @@ SELECT md5(props) AS hash, min(event_id) AS event_id FROM (SELECT *, min(ts) OVE
 """)
 def _(t):
     target, state = places(t, "dedup")
-    events = J.read_log(t.spark, t.raw("events").schema, t.path, "events.parquet")
+    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
     uploads = events.select("event_id", "ts", F.md5("props").alias("hash"))
     J.first_wins(uploads, ["hash"], ["ts", "event_id"], target, state).awaitTermination()
     return t.spark.read.parquet(target).select("hash", "event_id")
@@ -136,7 +136,7 @@ def _(t):
 def _(t):
     """The delay spans the whole log, so each content is kept once."""
     target, state = places(t, "repeats")
-    events = J.read_log(t.spark, t.raw("events").schema, t.path, "events.parquet")
+    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
     kept = J.drop_repeats(events.select("ts", F.md5("props").alias("hash")), ["hash"], "ts", delay="60 days")
     J.append(kept, target, state).awaitTermination()
     return t.spark.read.parquet(target).select("hash")
@@ -184,7 +184,7 @@ SELECT CAST(user_id % 20 AS INT) AS model_id, strftime(date_trunc('month', ts),
 """)
 def _(t):
     target, state = places(t, "monthly")
-    events = J.read_log(t.spark, t.raw("events").schema, t.path, "events.parquet")
+    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
     made = events.select((F.col("user_id") % 20).cast("int").alias("model_id"), "ts")
     J.monthly_counts(made, target, state).awaitTermination()
     return J.current(t.spark, target, ["model_id", "month"]).withColumn("month", F.date_format("month", "yyyy-MM"))
@@ -195,7 +195,7 @@ SELECT concat('g', user_id) AS game_pid, strftime(max(date_trunc('second', ts)),
 """)
 def _(t):
     target, state = places(t, "exports")
-    events = J.read_log(t.spark, t.raw("events").schema, t.path, "events.parquet")
+    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
     exports = events.select(F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_pid"),
                             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"))
     J.latest_export(exports, target, state).awaitTermination()

@@ -13,7 +13,7 @@ from draftlens.sources.scenes import judged_entries, scene_entries
 FLAT = """
 WITH c AS (SELECT c.*, p.text AS before FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
 w AS (SELECT *, CASE role WHEN 'user' THEN CASE WHEN conv_id % 8 = 1 THEN '9' ELSE '1' END WHEN 'system' THEN '2' END AS seq,
-  conv_id * 1000 + turn AS suggestion_id, concat('src', conv_id % 20) AS model_name FROM c)
+  concat(conv_id, ':', turn) AS suggestion_id, concat('src', conv_id % 20) AS model_name FROM c)
 """
 FLAT_ROWS = FLAT + """
 SELECT suggestion_id, model_name, CASE seq WHEN '1' THEN 'Ada' ELSE 'Ben' END AS character_name,
@@ -45,7 +45,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "contexts-csv")
     C.write_contexts_csv(judged_entries(t.raw("conversations")), path)
-    schema = "suggestion_id bigint, " + ", ".join(f"{c} string" for c in C.CONTEXT_COLUMNS[1:])
+    schema = "suggestion_id string, " + ", ".join(f"{c} string" for c in C.CONTEXT_COLUMNS[1:])
     back = t.spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option(
         "lineSep", "\n").csv(path)
     return back.withColumn("previous_entry_text", F.coalesce("previous_entry_text", F.lit("")))

@@ -56,17 +56,12 @@ def _(t):
     return R.avg_ratings(t.model, t.assignment, t.suggestion, t.feedback)
 
 
+ANSWERS = ", ".join(f"max(response) FILTER (WHERE type = '{x}') AS {x}" for x in R.FEEDBACK_TYPES)
 WIDE = f"""
+WITH answers AS (SELECT suggestion_id, {ANSWERS} FROM feedback GROUP BY suggestion_id)
 SELECT m.name AS model_name, st.game_pid, s.generated AS generated_text, s.finalized AS user_text,
-  s.uuid AS suggestion_id, ff.response AS fluency, fr.response AS relevance, fc.response AS coherence,
-  fl.response AS likeability, fm.response AS comments, s.created_at
-{FROM_DONE}
-LEFT JOIN feedback fm ON s.uuid = fm.suggestion_id AND fm.type = 'comments'
-LEFT JOIN feedback ff ON s.uuid = ff.suggestion_id AND ff.type = 'fluency'
-LEFT JOIN feedback fl ON s.uuid = fl.suggestion_id AND fl.type = 'likeability'
-LEFT JOIN feedback fr ON s.uuid = fr.suggestion_id AND fr.type = 'relevance'
-LEFT JOIN feedback fc ON s.uuid = fc.suggestion_id AND fc.type = 'coherence'
-{WHERE_DONE}
+  s.uuid AS suggestion_id, {', '.join(R.FEEDBACK_TYPES)}, s.created_at
+{FROM_DONE} LEFT JOIN answers ON answers.suggestion_id = s.uuid {WHERE_DONE}
 """
 
 
@@ -128,14 +123,18 @@ def _(t):
 # --- assignment -----------------------------------------------------------
 
 TOTALS = """
-mt AS (SELECT r.id AS model_id, count(s.story_hash) AS suggestion_count
-  FROM model r LEFT JOIN assignment a ON r.id = a.model_id LEFT JOIN suggestion s ON a.story_hash = s.story_hash
-  WHERE coalesce(s.ts, TIMESTAMP '2024-02-15') > TIMESTAMP '2024-02-01' GROUP BY r.id)
+work AS (SELECT model_id, count(*) FILTER (WHERE s.story_hash IS NULL) AS idle,
+    count(*) FILTER (WHERE s.story_hash IS NOT NULL AND coalesce(s.ts > TIMESTAMP '2024-02-01', true)) AS fresh
+  FROM assignment LEFT JOIN suggestion s USING (story_hash) GROUP BY model_id),
+mt AS (SELECT id AS model_id, coalesce(fresh, 0) AS suggestion_count
+  FROM model LEFT JOIN work ON work.model_id = model.id WHERE fresh IS NULL OR idle + fresh > 0)
 """
 STORY_TOTALS = TOTALS + """,
-tot AS (SELECT r.id, r.url, r.name, r.type, r.status, count(a.story_hash) AS story_count
-  FROM model r LEFT JOIN assignment a ON r.id = a.model_id LEFT JOIN mt ON r.id = mt.model_id
-  WHERE r.status = 'active' AND (r.quota < 0 OR mt.suggestion_count < r.quota) GROUP BY ALL)
+held AS (SELECT model_id, count(story_hash) AS stories FROM assignment GROUP BY model_id),
+free AS (SELECT id FROM model WHERE status = 'active' AND quota < 0
+  UNION SELECT id FROM model, mt WHERE mt.model_id = id AND status = 'active' AND suggestion_count < quota),
+tot AS (SELECT id, url, name, type, status, coalesce(stories, 0) AS story_count
+  FROM model SEMI JOIN free USING (id) LEFT JOIN held ON held.model_id = id)
 """
 
 
@@ -144,6 +143,11 @@ def _(t):
     return A.monthly_totals(t.model, t.assignment, t.suggestion)
 
 
+@query("monthly_totals_one", f"WITH {TOTALS} SELECT * FROM mt WHERE model_id = 3", CORE)
+def _(t):
+    return A.monthly_totals(t.model, t.assignment, t.suggestion, model_id=3)
+
+
 @query("story_totals", f"WITH {STORY_TOTALS} SELECT * FROM tot", CORE)
 def _(t):
     return A.story_totals(t.model, t.assignment, t.suggestion)

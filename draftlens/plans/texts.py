@@ -11,7 +11,6 @@ from draftlens.plans.registry import query, sql_list
 from draftlens.sources.scenes import scene_entries, story_exports, read_story_json
 from draftlens.sources.wordlists import STOPWORDS, load_word_list
 from draftlens.session import scratch_path
-from draftlens.sources.tables import spread
 
 # The same patterns spelled for RE2, which has ASCII \w and no look-ahead.
 W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
@@ -62,11 +61,11 @@ def sql_cut_last(text: str, piece: str) -> str:
 
 
 def documents(t):
-    return spread(t.raw("documents").select("doc_id", "text"), "doc_id")
+    return t.raw("documents").select("doc_id", "text")
 
 
 def suggestions(t):
-    return spread(t.suggestion, "id", scan=t.raw("documents"))
+    return t.suggestion
 
 
 @query("tokenize", f"""
@@ -288,8 +287,8 @@ def _(t):
 
 
 @query("src_story_json", """
-SELECT concat('c', c.conv_id) AS game_pid, c.turn, least(c.turn, 2) AS scenes, 'c' || c.conv_id AS first_of, coalesce(p.text, '') AS last_text
-FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+SELECT concat('c', conv_id) AS game_pid, turn, count(*) OVER w - 1 AS scenes, 'c' || conv_id AS first_of, coalesce(lag(text) OVER w, '') AS last_text
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def _(t):
     path = scratch_path(t.spark, "stories")
@@ -306,11 +305,11 @@ def _(t):
         F.coalesce(F.try_variant_get(last, "$.entries[0].description", "string"), F.lit("")).alias("last_text"))
 
 
-@query("src_stopwords", "SELECT DISTINCT lower(trim(w)) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE trim(w) <> '' AND NOT contains(w, chr(10))")
+@query("src_stopwords", r"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(text, '[ \t\n\v\f\r]+')) AS w FROM benchmark) WHERE w <> ''")
 def _(t):
     path = scratch_path(t.spark, "words")
-    words = t.raw("benchmark").select(F.explode(F.split("text", " ")).alias("value"))
-    words.where(~F.contains("value", F.lit("\n"))).select(F.concat(F.lit(" "), F.lower("value"), F.lit("  ")).alias("value")).write.text(path)
+    words = t.raw("benchmark").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("value"))
+    words.select(F.concat(F.lit(" "), F.lower("value"), F.lit("  ")).alias("value")).write.text(path)
     return load_word_list(t.spark, path)
 
 

@@ -1,8 +1,6 @@
 """Nested exports built from conversations, and readers and writers for JSON.
 
 Each turn is a scene entry; its story is the export as it stood just before.
-Earlier turns are joined by (conversation, turn), so no conversation is ever
-gathered into one task.
 """
 
 from __future__ import annotations
@@ -65,21 +63,20 @@ def scene_entries(conversations: DataFrame) -> DataFrame:
 
 
 def story_exports(conversations: DataFrame) -> DataFrame:
-    """The export before each turn: the two turns before it, in scenes of their own."""
-    before = lambda k: conversations.select(
-        "conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"text_{k}"))
-    rows = conversations.select("conv_id", "turn").join(before(1), ["conv_id", "turn"], "left").join(
-        before(2), ["conv_id", "turn"], "left")
-    scene = lambda k: F.when(
-        F.col("turn") >= k,
-        F.array(F.struct(F.array(F.struct(F.col(f"text_{k}").alias("description"))).alias("entries"))),
-    ).otherwise(F.array().cast("array<struct<entries:array<struct<description:string>>>>"))
+    """The export before each turn: all turns before it, in scenes of their own.
+
+    The turns of a conversation are gathered once, as an export is one value.
+    """
+    told = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("told"))
+    rows = conversations.select("conv_id", "turn").join(told, "conv_id")
+    scene = lambda t: F.struct(F.array(F.struct(t["text"].alias("description"))).alias("entries"))
+    before = F.transform(F.filter("told", lambda t: t["turn"] < F.col("turn")), scene)
     person = lambda n, name: F.struct(F.lit(n).alias("character_seq_id"), F.lit(name).alias("name"),
                                       F.concat(F.lit(f"{name} of c"), F.col("conv_id").cast("string")).alias("description"))
     story = F.struct(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("game_pid"),
         F.lit("2024-01-09T00:00:00").alias("exported_at"),
-        F.concat(scene(2), scene(1)).alias("scenes"),
+        before.alias("scenes"),
         F.array(person("1", "Ada"), person("2", "Ben"), person("1", "Cyd")).alias("characters"),
     )
     return rows.select("conv_id", "turn", F.to_json(story, {"ignoreNullFields": "false"}).alias("story"))
@@ -89,7 +86,7 @@ def judged_entries(conversations: DataFrame) -> DataFrame:
     """Story and entry JSON side by side, as the context export reads them."""
     pairs = scene_entries(conversations).join(story_exports(conversations), ["conv_id", "turn"])
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("suggestion_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("suggestion_id"),
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("model_name"),
         "story", F.col("entry").alias("generated"), F.col("entry").alias("finalized"))
 

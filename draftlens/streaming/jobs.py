@@ -21,18 +21,22 @@ from draftlens.operators.joins import first_per_key
 DELAY = "2 days"
 
 
-def read_log(spark: SparkSession, schema, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; ``name`` may hold wildcards."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def read_log(spark: SparkSession, schema, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A Parquet table, one file or a folder of them, as a stream.
+
+    Written as a pattern, since a source that is a single file takes no other path.
+    """
+    path = path.rstrip("/")
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None  # nothing written yet
 
 

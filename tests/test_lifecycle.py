@@ -180,7 +180,7 @@ def log_files(spark, data, tmp_path_factory):
 
 def test_first_wins_over_batches(spark, log_files, tmp_path):
     folder, events = log_files
-    stream = J.read_log(spark, events.schema, folder, "*.parquet").select("event_id", "ts", (F.col("event_id") % 600).alias("k"), "props")
+    stream = J.read_log(spark, events.schema, folder).select("event_id", "ts", (F.col("event_id") % 600).alias("k"), "props")
     target, state = str(tmp_path / "t"), str(tmp_path / "s")
     J.first_wins(stream, ["k"], ["ts", "event_id"], target, state).awaitTermination()
     stored = spark.read.parquet(target)
@@ -197,7 +197,7 @@ def test_running_reports_over_batches(spark, log_files, tmp_path):
     folder, events = log_files
     log = lambda df: df.select("event_id", "ts", F.col("user_id").alias("uuid"),
                                F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("status"))
-    stream = J.read_log(spark, events.schema, folder, "*.parquet")
+    stream = J.read_log(spark, events.schema, folder)
     J.status_latest(log(stream), str(tmp_path / "a"), str(tmp_path / "b")).awaitTermination()
     got = J.current(spark, str(tmp_path / "a"), ["uuid"]).select("uuid", "status", "changes")
     want = L.status_latest(log(events)).select("uuid", "status", "changes")
@@ -209,7 +209,7 @@ def test_running_reports_over_batches(spark, log_files, tmp_path):
 
 def test_drop_repeats_within_delay(spark, log_files, tmp_path):
     folder, events = log_files
-    stream = J.read_log(spark, events.schema, folder, "*.parquet").select("ts", "props")
+    stream = J.read_log(spark, events.schema, folder).select("ts", "props")
     J.append(J.drop_repeats(stream, ["props"], "ts", "60 days"), str(tmp_path / "a"), str(tmp_path / "b")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "a"))
     assert got.count() == events.select("props").distinct().count()

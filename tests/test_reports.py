@@ -89,9 +89,11 @@ def test_rank_by_hash_and_top_per_group(spark):
         assert sorted(r.id for r in top if r.g == group) == want
 
 
-def test_bounded_broadcast(spark):
-    assert "broadcast" in J.bounded_broadcast(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in J.bounded_broadcast(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
+def test_excluded_games_from_a_table(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, game_pid string")
+    ids = lambda games: sorted(r.id for r in R.exclude_games(rows, spark.createDataFrame(games, "w string")).collect())
+    assert ids([("a",)]) == [2]
+    assert ids([]) == [1, 2, 3]
 
 
 def test_excluded_games(spark):
