@@ -31,7 +31,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several rows with that id the one whose columns hash lowest stays. Rows
     without an id are kept only where no row of their group has one.
     """
-    chosen = simhash.representatives(simhash.near_duplicates(docs)).select(F.col("row").alias("_row"))
+    chosen = simhash.representatives(docs).select(F.col("row").alias("_row"))
     rows = docs.withColumn("_key", row_hash(docs)).join(chosen, F.col("_key") == F.col("_row"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
     return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)

@@ -170,19 +170,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored.
     """
     prints = C.save(fingerprints(docs, id_col, text_col, shingle))
-    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = C.components(links(lowest.select("fp"), distance))
-    named = lowest.join(roots, lowest.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), distance)
     whole = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(whole, "root").select("fp", "component_id", "root")
     return prints.join(named, "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
-def representatives(groups: DataFrame) -> DataFrame:
-    """One (doc_id, row) of each component: the smallest id, null last, then row."""
+def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """(fp, low) of distinct fingerprints, with the root of each one's component."""
+    roots = C.components(links(nodes.select("fp"), distance))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """One (doc_id, row) of each component of ``near_duplicates``: the smallest id, null last, then row.
+
+    Copies are reduced to one row for each fingerprint before any join, so that no
+    join meets the rows of a hot fingerprint.
+    """
+    prints = C.save(fingerprints(docs, id_col, text_col, shingle))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    # Equal fingerprints first, so that a hot component is not one group of rows.
-    low = groups.groupBy("root", "fp").agg(F.min(first).alias("low")).groupBy("root").agg(F.min("low").alias("low"))
+    nodes = C.save(prints.groupBy("fp").agg(F.min(first).alias("low")))
+    low = _rooted(nodes, distance).groupBy("root").agg(F.min("low").alias("low"))
     return low.select("low.doc_id", "low.row")
 
 
