@@ -4,6 +4,11 @@ Texts are bags of hashed word and punctuation unigrams and bigrams. Two smoothed
 models, of labelled good texts and of all texts, give each document a log ratio of
 likelihoods. With Gumbel noise added, the k largest keys are a sample of k documents
 drawn without replacement in proportion to their importance.
+
+The n-grams of one text are not independent, so the plain ratio of a long text grows
+with its length: a slight difference, such as a language that the labelled texts hold
+a little less of, would outweigh any sign of junk. A text of more than SPAN n-grams
+counts as SPAN n-grams of its own average.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ PRIOR = 1000
 #: At most so many labelled rows of either kind, lowest id hash first, are read to fit.
 LABELLED = 20_000
 
+#: N-grams of a text that count in full; a longer text counts as so many.
+SPAN = 500
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KIND = np.full(256, 2, np.uint8)  # 0: white space, 1: letters, digits and non-ASCII, 2: the rest
@@ -92,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, and importance: the log ratio of the whole text (0 without words)."""
+    """All columns, and importance: the log ratio of the whole text, for at most SPAN n-grams (0 without words)."""
     docs = docs.drop("importance")
     at = docs.columns.index(text_col)
 
@@ -102,7 +110,8 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
             out = np.zeros(len(off) - 1)
             for i, j in C.pieces(off, 4 << 20):
                 bucket, doc = features(raw[off[i]:off[j]], off[i:j + 1] - off[i])
-                out[i:j] = np.bincount(doc, weights[bucket], j - i)
+                n = np.bincount(doc, minlength=j - i)
+                out[i:j] = np.bincount(doc, weights[bucket], j - i) * (SPAN / np.maximum(n, SPAN))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "importance"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -62,7 +62,7 @@ def keep_good(rows, labels, noise):
         share = (raw[b] + 1) / (n_raw + n)
         return math.log((good[b] + PRIOR * n * share) / (n_good + PRIOR * n) / share)
 
-    importance = [math.fsum(map(weight, f)) for f in found]
+    importance = [math.fsum(map(weight, f)) * min(1, quality.SPAN / max(1, len(f))) for f in found]
     key = [x + noise[r[0]] for x, r in zip(importance, rows, strict=True)]
     k = sum(x >= -2 for x in importance)
     cut = sorted(key, reverse=True)[k - 1]
