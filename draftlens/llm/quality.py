@@ -127,31 +127,25 @@ def gumbel(ident, seed: int) -> F.Column:
 def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
     """The exact k-th largest of a column; none if there are fewer rows.
 
-    Halves the range of values until one value is left; each step is a count. Values
-    are compared as the whole numbers that sort as they do.
+    Each step deals the values that may still be it to 257 bins by size, counts the
+    bins and goes on with the one that holds it, until that holds one value.
     """
-    bounds = rows.agg(F.count(column), F.min(column), F.max(column)).first()
+    value = F.col(column)
+    rows = rows.where(value.isNotNull())
+    bounds = rows.agg(F.count(value), F.min(value), F.max(value)).first()
     if k <= 0 or bounds[0] < k:
         return None
-    low, high = (_as_long(x) for x in bounds[1:])
+    low, high = bounds[1], bounds[2]
     while low < high:
-        steps = sorted({low + (high - low + 1) * i // 256 for i in range(1, 256)} | {high})
-        marks = [x for x in steps if x > low]
-        counts = [F.count(F.when(F.col(column) >= _as_double(x), 1)) for x in marks]
-        above = rows.agg(*counts).first()
-        fits = [x for x, n in zip(marks, above, strict=True) if n >= k]
-        over = [x for x, n in zip(marks, above, strict=True) if n < k]
-        low, high = max(fits, default=low), min(over) - 1 if over else high
-    return _as_double(low)
-
-
-def _as_long(x: float) -> int:
-    bits = int(np.float64(x).view(np.int64))
-    return bits if bits >= 0 else -(bits & (2**63 - 1))
-
-
-def _as_double(x: int) -> float:
-    return float(np.int64(x).view(np.float64)) if x >= 0 else -float(np.int64(-x).view(np.float64))
+        span = F.lit(high - low)
+        bins = rows.where(value.between(low, high)).groupBy(F.floor((value - low) / span * 256).alias("bin"))
+        counts = bins.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for b in sorted(counts.collect(), reverse=True):  # at most 257 rows
+            if k <= b.n:
+                low, high = b.low, b.high
+                break
+            k -= b.n
+    return low
 
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = -2.0,
