@@ -1,7 +1,9 @@
 """Near-duplicate vectors with a robust-pruned flat graph.
 
-Distinct vectors of one label are dealt to overlapping clusters (each to its two
-nearest centroids of a bounded sample). Within a cluster, graphs are built on
+Distinct vectors of one label are dealt to overlapping clusters: each to its nearest
+centroid of a bounded sample, its home, and as a guest to every lower-numbered one
+that the triangle inequality cannot exclude as the home of a vector in range. So each
+pair in range meets in exactly one cluster, the lower of its two homes. Within a cluster, graphs are built on
 overlapping groups, pruned robustly, and their adjacency lists united. Each vector
 searches the graph greedily from the groups' medoids; from what it finds in range,
 the search expands over neighbours in range until nothing new comes. Every task
@@ -22,8 +24,10 @@ from draftlens.llm.common import components, save
 
 #: Vectors, lowest hash first, that the centroids are fitted on; and most centroids.
 SAMPLE, CENTROIDS = 20_000, 1024
-#: Vectors a cluster is meant to hold, and those of one that meet in one task.
-CLUSTER, PART = 1000, 2048
+#: Vectors of one label that are meant to be at home in a cluster, and those that meet in one task.
+CLUSTER, PART = 4096, 4096
+#: Rounding margin of angles and products; it only adds guests.
+SLACK = 1e-6
 GROUP, DEGREE, ALPHA, BEAM, AUDITED, RECALL = 256, 16, 1.2, 32, 32, 0.99
 
 
@@ -39,6 +43,23 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def guests(x: np.ndarray, middle: np.ndarray, ring: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each vector, and (vectors x centroids) which lower homes it visits.
+
+    A vector u within the angle t of x, at home in C, is no nearer to x's own centroid
+    than to C, so x lies at most t beyond the plane between the two; and its angle to C
+    lies within t of the angles (ring) that C's vectors have.
+    """
+    near = x @ middle.T
+    home = near.argmax(axis=1)
+    t = np.arccos(np.clip(least, -1, 1))
+    gap = np.sqrt(np.maximum(0, 2 - 2 * middle @ middle.T))
+    over = np.take_along_axis(near, home[:, None], 1) - near <= (np.sin(t) if least > 0 else 1) * gap[home] + SLACK
+    angle = np.arccos(np.clip(near, -1, 1))
+    inside = (angle <= ring[1] + t + SLACK) & (angle >= ring[0] - t - SLACK)
+    return home, over & inside & (np.arange(len(middle)) < home[:, None])
+
+
 def _prune(x: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Neighbours of each vector of one group: near first, none behind another."""
     far = np.sqrt(np.maximum(0, 2 - 2 * (x[own] @ x[own].T)))
@@ -172,29 +193,48 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # Copies are one node; a hot one is first gathered in each task.
     nodes = save(good.groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low")))
     sample = nodes.select("vec").orderBy("node").limit(SAMPLE).collect()
-    k = min(CENTROIDS, max(1, -(-nodes.count() // CLUSTER)))
+    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    k = min(CENTROIDS, max(1, -(-most // CLUSTER)))
     middle = centroids(V.unit(np.array([r[0] for r in sample])), k) if sample else np.zeros((1, 1))
 
+    def rings(batches):
+        low, high = np.full(len(middle), np.inf), np.full(len(middle), -np.inf)
+        for b in batches:
+            near = V.unit(V.matrix(b.column(0))) @ middle.T if b.num_rows else np.zeros((0, len(middle)))
+            who, at = np.nonzero(near >= near.max(axis=1, keepdims=True, initial=-1) - SLACK)  # ties may fall either way
+            angle = np.arccos(np.clip(near[who, at], -1, 1))
+            np.minimum.at(low, at, angle)
+            np.maximum.at(high, at, angle)
+        on = np.flatnonzero(high >= low)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(low[on]), pa.array(high[on])], ["cluster", "low", "high"])
+
+    ring = np.stack([np.full(len(middle), np.inf), np.full(len(middle), -np.inf)])
+    if k > 1:
+        spans = nodes.select("vec").mapInArrow(rings, "cluster int, low double, high double")
+        for r in spans.groupBy("cluster").agg(F.min("low"), F.max("high")).collect():  # at most CENTROIDS rows
+            ring[:, r[0]] = r[1], r[2]
+
     def assign(batches):
         for b in batches:
-            x = V.matrix(b.column(2))
-            near = np.argsort(-(V.unit(x) @ middle.T), axis=1, kind="stable")[:, :2] if len(x) else np.zeros((0, 2), int)
-            n, w = near.shape
-            taken = b.take(pa.array(np.repeat(np.arange(n), w)))
-            both = pa.ListArray.from_arrays(pa.array(np.arange(0, n * w * w + 1, w), pa.int32()), pa.array(np.repeat(near, w, axis=0).ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel(), pa.int32()), both], ["node", "label", "vec", "copies", "cluster", "both"])
+            n = b.num_rows
+            home, visits = guests(V.unit(V.matrix(b.column(2))), middle, ring, least) if n else (np.zeros(0, int), np.zeros((0, 1), bool))
+            who, at = np.nonzero(visits)
+            taken = b.take(pa.array(np.concatenate([np.arange(n), who])))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate([home, at]), pa.int32()), pa.array(np.arange(n + len(who)) >= n)],
+                                             ["node", "label", "vec", "copies", "cluster", "guest"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    dealt = nodes.select("node", "label", "vec", "copies").mapInArrow(assign, f"node long, label {kind}, vec array<double>, copies long, cluster int, both array<int>")
-    sizes = dealt.groupBy("label", "cluster").count().select("label", "cluster", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    dealt = dealt.join(sizes, ["label", "cluster"]).withColumn("part", F.pmod("node", F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("parts", "other")
+    dealt = nodes.select("node", "label", "vec", "copies").mapInArrow(assign, f"node long, label {kind}, vec array<double>, copies long, cluster int, guest boolean")
+    # Parts of a cluster: first those at home, then guests, which meet those at home only.
+    sizes = dealt.groupBy("label", "cluster").agg(*[F.ceil(F.count_if(c) / PART).cast("int").alias(n) for c, n in ((~F.col("guest"), "homes"), (F.col("guest"), "visits"))])
+    dealt = dealt.join(sizes.where("homes > 0"), ["label", "cluster"])
+    dealt = dealt.withColumn("part", F.when(F.col("guest"), F.col("homes") + F.pmod("node", F.greatest("visits", F.lit(1)))).otherwise(F.pmod("node", "homes")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") + F.when(F.col("guest"), 0).otherwise(F.col("visits")) - 1)))
+    dealt = dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("guest", "homes", "visits", "other")
 
     def task(t: pa.Table) -> pa.Table:
         x, node, copies = V.unit(V.matrix(t.column("vec"))), t.column("node").to_numpy(), t.column("copies").to_numpy()
         part, p, q = t.column("part").to_numpy(), t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        both = np.sort(np.stack(t.column("both").to_numpy()), axis=1)
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
         a, b = linked(x[left], x[right], least) if len(left) and len(right) else (np.zeros(0, int),) * 2
         a, b = right[a], left[b]
@@ -203,11 +243,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             a, b = np.concatenate([a, b]), np.concatenate([b, a])
             keep = np.concatenate([keep, keep])
         a, b = a[keep], b[keep]
-        # A pair that shares both clusters is counted in the first of them.
-        same = both[a][:, :, None] == both[b][:, None, :]
-        first = np.where(same.any(axis=2), both[a], 2**31 - 1).min(axis=1)
-        mine = first == t.column("cluster")[0].as_py()
-        a, b = a[mine], b[mine]
         pairs = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))  # found from either side
         a, b = np.divmod(pairs, len(x))
         root = _roots(len(x), a, b)
