@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from draftlens.llm import vector_dedup
+from draftlens.llm import neighbours, vector_dedup
 
 
 def planted(n, pairs, seed=11, dims=64):
@@ -41,3 +41,22 @@ def test_vector_dedup_guests_are_lossless(least):
     assert (got == home).all()
     a, b = np.nonzero((x @ x.T >= least) & (home[:, None] > home))
     assert len(a) and visits[a, home[b]].all()
+
+
+@pytest.mark.parametrize("copies", [198, 205, 212, 700])
+def test_nearest_among_copies_by_id(spark, monkeypatch, copies):
+    """Smallest ids among copies, with shards in parts and scores in blocks."""
+    monkeypatch.setattr(neighbours, "SHARD", 64)
+    x = np.random.default_rng(copies).normal(size=(34, 64))
+    rows = [(i, x[0].tolist()) for i in range(copies)] + [(copies + i, (x[0] * 2.0 ** (i % 9)).tolist()) for i in range(copies)]
+    rows += [(10_000 + i, v.tolist()) for i, v in enumerate(x[1:])]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    got = {}
+    for r in neighbours.nearest(df, df["vec_id"] >= 9_990 - 9_990 * (df["vec_id"] < 3).cast("int")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in [0, 1, 2, *range(10_000, 10_033)]:
+        score = np.round(u @ u[ids == q][0], 12)
+        score[ids == q] = -9
+        assert got[q] == ids[np.lexsort((ids, -score))[:5]].tolist()
