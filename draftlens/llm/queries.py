@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlens.llm import bpe, chat, html_text, mixing, neighbours, quality, simhash, vector_dedup
+from draftlens.llm import bpe, centroids, chat, hard_negatives, html_text, license_scan, mixing, neighbours, quality, simhash, vector_dedup
 from draftlens.llm.common import table
 from draftlens.llm.repeated_bytes import repeated_bytes
 from draftlens.llm.substring_dedup import maximal_repeats
@@ -176,3 +176,88 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """)
 def op10(spark, path):
     return vector_dedup.near_duplicates(table(spark, path, "embeddings"))
+
+
+def license_sql() -> str:
+    """The templates as rows; words by regular expression, places by list comparison."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for k, (base, label, words, at, key, must) in enumerate(license_scan.all_templates()):
+        more = "[" + ", ".join(f"{{'pos': {i}, 'words': {listed(p)}}}" for i, p in [(at, key), *must]) + "]"
+        rows.append(f"({k}, {str(base).lower()}, '{label}', {listed(words)}, {at}, {listed(key)}, {more})")
+    return rf"""
+WITH t(k, base, label, words, shift, key, must) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+f AS (SELECT w, count(*) AS f FROM (SELECT unnest(list_distinct(ws)) AS w FROM d) GROUP BY w),
+i AS (SELECT k, j, w, 1024 + CAST(floor(1024 * ln((n + 1) / (coalesce(f, 0) + 1))) AS BIGINT) AS idf
+      FROM (SELECT k, unnest(range(0, len(words))) AS j, unnest(words) AS w FROM t) LEFT JOIN f USING (w), n),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM d),
+c AS (SELECT doc_id, ws, pos - 1 AS start, pos - 1 - shift AS s, t.* FROM p JOIN t ON t.key[1] = w AND ws[pos:pos + len(key) - 1] = key),
+a AS (SELECT doc_id, c.k, start, sum(CASE WHEN s + j >= 0 AND ws[s + j + 1] = i.w THEN idf ELSE 0 END) / sum(idf) AS share FROM c JOIN i ON i.k = c.k GROUP BY doc_id, c.k, start),
+g AS (SELECT doc_id, start, base, label, share, base OR (share >= {license_scan.SHARE}
+         AND len(list_filter(must, lambda m: s + m.pos < 0 OR ws[s + m.pos + 1:s + m.pos + len(m.words)] <> m.words)) = 0) AS whole
+      FROM c JOIN a USING (doc_id, k, start))
+SELECT d.doc_id, any_value(len(ws)) AS n_words, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS labels,
+       coalesce(max(share) FILTER (NOT base), 0.0) AS score
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op11_license_scan", license_sql())
+def op11(spark, path):
+    rows = license_scan.license_scan(table(spark, path, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    names = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    starts = F.transform(base, lambda p: p["start"])
+    return rows.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                       names(base).alias("base_labels"), names(F.filter("places", lambda p: p["whole"])).alias("labels"),
+                       F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"))
+
+
+def cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round spelled out; sums are exact, floors are those of negative numbers too."""
+    def assigned(r):
+        return f"""a{r} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (SELECT vec_id, v.x, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS nth
+  FROM (SELECT v.vec_id, v.x, c.c, c.x AS y, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{r} c) v) WHERE nth = 1)"""
+
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"]
+    for r in range(rounds):
+        steps += [assigned(r), f"""u{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT c, i, sum(y) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(x) AS y FROM a{r}) GROUP BY c, i) GROUP BY c)""",
+                  f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(u{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN u{r} USING (c))"]
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+{", ".join(steps)}, {assigned(rounds)}
+SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} USING (c)
+"""
+
+
+@query("op12_centroid_clustering", cluster_sql())
+def op12(spark, path):
+    rows, _ = centroids.cluster(table(spark, path, "embeddings"))
+    return rows.withColumns({c: F.col(c).try_cast("long") for c in ("cluster_inertia", "inertia")})
+
+
+@query("op13_hard_negatives", """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+             vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5
+""")
+def op13(spark, path):
+    rows = table(spark, path, "embeddings")
+    turned = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return hard_negatives.mine(rows.select("vec_id", "embedding", turned.alias("label")))
