@@ -28,6 +28,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of texts that a slice is meant to hold.
+SLICE = 32 << 20
+
+
+def slices(docs: DataFrame, text_col: str, size: int = SLICE) -> int:
+    """Slices for a corpus: by its bytes, and a few for each shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    return max(4 * partitions(docs.sparkSession), -(-total // size))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage: written to the shared folder and read again."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.llm.common import WORD, row_hash, word_count
+from draftlens.llm.common import WORD, row_hash, save, word_count
 
 #: Times that a source may be repeated.
 EPOCHS = 3
@@ -48,15 +48,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """What the mix takes of every document, in words.
 
     One row per input row: doc_id, source, size, source_size, target (its source's),
-    taken (repeats counted); with ``rows_too``, also row (a hash of its columns). A null text has size 0 and is not taken. A null source
-    is a source. Rows tie only if id and size agree, and then either may be cut;
-    null ids share one key and are ordered by size. Other columns are ignored.
+    taken (repeats counted); with ``rows_too``, also row (a hash of its columns). A
+    null text has size 0 and is not taken; a text of any length counts whole. A null
+    source is a source. Rows tie only if id and size agree, and then either may be
+    cut; a row without an id goes by the hash of its columns. Other columns are
+    ignored, whatever their names.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("row:"), row_hash(docs).cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"),
                        F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit("")).alias("src"),
                        word_count(docs[text_col]).alias("size"), row_hash(docs).alias("row") if rows_too else F.lit(0).alias("row"), key.alias("key"))
-    rows = rows.withColumn("part", F.substring("key", 1, DIGITS)).repartition("src", "part")
+    # Saved narrow, so that texts are read and their words counted once.
+    rows = save(rows.withColumn("part", F.substring("key", 1, DIGITS)))
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("n"), F.first("source", True).alias("source"))
     sources = parts.groupBy("src").agg(F.sum("n").alias("source_size"), F.first("source", True).alias("source"))
     sources = targets(sources, by_code_point() if weight is None else weight)
@@ -80,14 +84,14 @@ def apply(docs: DataFrame) -> DataFrame:
     words, joined by blanks. Rows that agree in all columns share what is taken of
     them. Documents of which nothing is taken (texts without words among them) go.
     """
-    plan = mix(docs, rows_too=True).where("taken > 0")
-    plan = plan.groupBy("row", "size").agg(F.sum("taken").alias("_taken")).select(F.col("row").alias("_row"), F.col("size").alias("_size"), "_taken")
-    rows = docs.withColumn("_key", row_hash(docs)).join(plan, F.col("_key") == F.col("_row"))
-    same = Window.partitionBy("_key")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_j", F.row_number().over(same.orderBy("_size")))
-    share = F.floor(F.col("_taken") * F.col("_j") / F.col("_n")) - F.floor(F.col("_taken") * (F.col("_j") - 1) / F.col("_n"))
-    rows = rows.withColumn("_taken", share).where("_taken > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
-    return rows.withColumn("text", F.when(left < F.col("_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    plan = mix(docs, rows_too=True).groupBy("row", "size").agg(F.sum("taken").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") > 0)
+    # The document is one value beside the columns made here, so names cannot clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row_hash(docs).alias("row")).join(plan, "row")
+    rows = rows.withColumn("j", F.row_number().over(Window.partitionBy("row").orderBy("size")))
+    share = F.floor(F.col("all") * F.col("j") / F.col("n")) - F.floor(F.col("all") * (F.col("j") - 1) / F.col("n"))
+    rows = rows.select("doc", "size", share.alias("taken")).where("taken > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left, text = F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("doc")["text"]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
+    text = F.when(left < F.col("size"), cut).otherwise(text).alias("text")
+    return rows.select(*[text if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

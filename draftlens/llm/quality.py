@@ -7,8 +7,12 @@ drawn without replacement in proportion to their importance.
 
 The n-grams of one text are not independent, so the plain ratio of a long text grows
 with its length: a slight difference, such as a language that the labelled texts hold
-a little less of, would outweigh any sign of junk. A text of more than SPAN n-grams
-counts as SPAN n-grams of its own average.
+a little less of, would outweigh any sign of junk. Every text is therefore read as if
+SPAN neutral n-grams stood beside its own, and counts as SPAN n-grams of the average
+of both. One formula serves all lengths.
+
+The number of hash buckets grows with the root of the corpus, as the number of its
+frequent n-grams does, and the weight of the prior with the good texts that are seen.
 """
 
 from __future__ import annotations
@@ -21,16 +25,16 @@ from pyspark.sql import functions as F
 from draftlens.llm import common as C
 from draftlens.llm import rolling as R
 
-#: Hash buckets of the n-gram models.
-BUCKETS = 10_000
+#: Hash buckets of the n-gram models, at least and at most; between, 4 for each root of an n-gram.
+BUCKETS, MOST = 1 << 13, 1 << 20
 
-#: Tokens a bucket that the good model starts from.
-PRIOR = 1000
+#: Tokens that the good model starts from: so many, and so many for each token of good text.
+PRIOR, SHARE = 1_500_000, 4
 
 #: At most so many labelled rows of either kind, lowest id hash first, are read to fit.
 LABELLED = 20_000
 
-#: N-grams of a text that count in full; a longer text counts as so many.
+#: Neutral n-grams beside those of a text, and n-grams that it counts as.
 SPAN = 500
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -40,7 +44,14 @@ KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[48:58] = KIND[65:91] = KIND[97:123] = KIND[128:] = 1
 
 
-def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets(docs: DataFrame, text_col: str) -> int:
+    """Buckets for a corpus, a power of two: from its bytes, about three an n-gram."""
+    size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    wanted = 4 * np.sqrt(size / 3)
+    return int(min(MOST, max(BUCKETS, 1 << int(np.ceil(np.log2(max(1.0, wanted)))))))
+
+
+def features(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each unigram and bigram, and the text it is in."""
     kind = KIND[raw]
     new = np.ones(len(raw) + 1, bool)
@@ -55,28 +66,28 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     both = doc[1:] == doc[:-1]
     two = R.mix(one[:-1] * np.uint64(3) + one[1:])[both]
     two[(one[1:] == one[:-1])[both]] = 0  # any token said twice is one bigram
-    return (np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[:-1][both]])
+    return (np.concatenate([one, two]) % np.uint64(n)).astype(np.int64), np.concatenate([doc, doc[:-1][both]])
 
 
-def _counts(docs: DataFrame, id_col: str, text_col: str, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counts(docs: DataFrame, id_col: str, text_col: str, good: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over good and over all texts: one small row set per task."""
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, size), np.int64)
         for b in batches:
             raw, off = C.texts(b.column(1))
             ident = b.column(0).fill_null(C.LAST_ID).to_numpy()
             chosen = np.isin(ident, good)
             for i, j in C.pieces(off, 4 << 20):
-                bucket, doc = features(raw[off[i]:off[j]], off[i:j + 1] - off[i])
-                total[1] += np.bincount(bucket, minlength=BUCKETS)
-                total[0] += np.bincount(bucket[chosen[doc + i]], minlength=BUCKETS)
+                bucket, doc = features(raw[off[i]:off[j]], off[i:j + 1] - off[i], size)
+                total[1] += np.bincount(bucket, minlength=size)
+                total[0] += np.bincount(bucket[chosen[doc + i]], minlength=size)
         some = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "good", "raw"])
 
     rows = docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(count, "bucket long, good long, raw long")
-    out = np.zeros((2, BUCKETS), np.int64)
-    for r in rows.groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect():  # at most BUCKETS rows
+    out = np.zeros((2, size), np.int64)
+    for r in rows.groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect():  # as many rows as buckets
         out[:, r[0]] = r[1], r[2]
     return out[0], out[1]
 
@@ -89,18 +100,19 @@ def _labelled(labels: DataFrame, quality: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of each bucket: good model over raw model.
 
-    The good model starts from PRIOR tokens a bucket, spread as the raw model is, so
-    that a bucket of which little is known tells nothing for or against a text.
+    The good model starts from PRIOR tokens and SHARE times as many as it sees, spread as
+    the raw model is, so that a bucket of which little is known tells nothing.
     """
-    good, raw = _counts(docs, id_col, text_col, _labelled(labels, 1))
+    size = buckets(docs, text_col)
+    good, raw = _counts(docs, id_col, text_col, _labelled(labels, 1), size)
     if not good.any():
-        return np.zeros(BUCKETS)
-    share = (raw + 1) / (raw.sum() + BUCKETS)
-    return np.log((good + PRIOR * BUCKETS * share) / (good.sum() + PRIOR * BUCKETS)) - np.log(share)
+        return np.zeros(size)
+    share, known = (raw + 1) / (raw.sum() + size), PRIOR + SHARE * good.sum()
+    return np.log((good + known * share) / (good.sum() + known)) - np.log(share)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, and importance: the log ratio of the whole text, for at most SPAN n-grams (0 without words)."""
+    """All columns, and importance: the log ratio of the whole text, counted as SPAN n-grams (0 without words)."""
     docs = docs.drop("importance")
     at = docs.columns.index(text_col)
 
@@ -109,9 +121,9 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
             raw, off = C.texts(b.column(at))
             out = np.zeros(len(off) - 1)
             for i, j in C.pieces(off, 4 << 20):
-                bucket, doc = features(raw[off[i]:off[j]], off[i:j + 1] - off[i])
+                bucket, doc = features(raw[off[i]:off[j]], off[i:j + 1] - off[i], len(weights))
                 n = np.bincount(doc, minlength=j - i)
-                out[i:j] = np.bincount(doc, weights[bucket], j - i) * (SPAN / np.maximum(n, SPAN))
+                out[i:j] = np.bincount(doc, weights[bucket], j - i) * (SPAN / (n + SPAN))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "importance"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -154,8 +154,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null text stays null.
     """
     width = C.partitions(docs.sparkSession)
-    n_slices, n_buckets = n_slices or 4 * width, n_buckets or max(1, width // 2)
-    rows = sliced(docs, id_col, text_col, n_slices, carry)
+    n_slices, n_buckets = n_slices or C.slices(docs, text_col), n_buckets or max(1, width // 2)
+    rows = sliced(docs, id_col, text_col, n_slices, carry, by_text=True)
 
     def parsed(table: pa.Table):
         raw, off = C.texts(table.column("text"))

@@ -6,8 +6,8 @@ whole window always holds one aligned block of its earlier copy, so windows
 without a hit are done. Hits are extended to whole windows, windows to maximal
 repeats, and each word covered by a window that also starts earlier goes.
 
-Work is dealt in slices of documents and buckets of hashes, both multiples of the
-session's shuffle width. A slice sends each distinct hash once, however often it
+Work is dealt in slices of documents, whose number follows the bytes of all texts,
+and buckets of hashes, as many as shuffle partitions. A slice sends each distinct hash once, however often it
 occurs, so a passage that a third of all rows hold costs a bucket one entry per
 slice. The texts are shuffled once; the three passes read the same exchange.
 """
@@ -26,14 +26,17 @@ from draftlens.llm import rolling as R
 PIECE = 1 << 20
 
 
-def sliced(docs: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, order key (ident, tie), text and slice; null ids come last, by text."""
+def sliced(docs: DataFrame, id_col: str, text_col: str, n: int, carry: tuple[str, ...] = (), by_text: bool = False) -> DataFrame:
+    """doc_id, order key (ident, tie), text and slice; null ids come last, by text.
+
+    ``by_text`` deals rows of one id by their texts, where they need not stand together.
+    """
     rest = [F.struct(*carry).alias("rest")] if carry else []
     ident, text = docs[id_col].cast("long"), docs[text_col]
     out = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(C.LAST_ID)).alias("ident"),
                       F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")).alias("tie"),
                       text.alias("text"), *rest)
-    return out.withColumn("slice", F.pmod(F.xxhash64("ident", "tie"), F.lit(n)).cast("int"))
+    return out.withColumn("slice", F.pmod(F.xxhash64("ident", "tie", *["text"] * by_text), F.lit(n)).cast("int"))
 
 
 def ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -97,7 +100,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come after all others, in order of their text's hash. Other columns are ignored.
     """
     width = C.partitions(docs.sparkSession)
-    n_slices, n_buckets = n_slices or 4 * width, n_buckets or width
+    n_slices, n_buckets = n_slices or C.slices(docs, text_col), n_buckets or width
     block = (window + 1) // 2
     rows = sliced(docs, id_col, text_col, n_slices)
 

@@ -27,7 +27,7 @@ from draftlens.llm import vectors as V
 from draftlens.llm.common import components, drop, save
 
 #: Vectors, lowest hash first, for fitting and auditing the homes; and most centroids.
-SAMPLE, CENTROIDS = 32_768, 8192
+SAMPLE, CENTROIDS = 16_384, 8192
 #: Vectors of the most common label for each centroid, and those of a shard that meet in one task.
 CLUSTER, PART = 1024, 4096
 #: Neighbours a vector keeps of a shard, and how much nearer another must be to hide one.

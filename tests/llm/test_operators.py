@@ -164,11 +164,49 @@ def test_html():
     assert page.text() == "a b\n\nc&d e 1 < 2\n\nq\n\nr\n\nz\n\nk l"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='content has-sidebar'><article><p>Main text</p></article></div>", "Main text"),
+    ("<article class='post comments-open'><p>Main</p></article>", "Main"),
+    ("<div class='no-sidebar'><p>x y z</p></div>", "x y z"),
+    ("<article><p>Long main text of it</p><section id='share-prices'><p>prices</p></section><div class='comments'><p>no</p></div></article>",
+     "Long main text of it\n\nprices"),
+    ("<div class='related'><article>teaser</article></div><article><p>The main article of it</p></article>", "The main article of it"),
+    ("<div id='sidebar'><p>Nearly everything on this page is in here</p></div><p>rest</p>", "Nearly everything on this page is in here\n\nrest"),
+    ("<div class='ad-300x250'>buy</div><p>words that stay here</p>", "words that stay here"),
+])
+def test_html_names(html, text):
+    assert html_text.Page(html).text() == text
+
+
+def plain_main_text(rows, least):
+    """Hashes counted host by host in plain Python."""
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    host = lambda u: (urlsplit(u or "").hostname or "").lower()
+    pages = defaultdict(set)
+    for _, url, html in rows:
+        if html is not None:
+            for h in html_text.Page(html).hashes():
+                pages[host(url), h].add(html)
+    found = lambda u: frozenset(h for (name, h), p in pages.items() if name == host(u) and len(p) >= least)
+    return sorted((-1 if i is None else i, html_text.Page(html or "").text(found(url))) for i, url, html in rows)
+
+
 def test_html_templates(spark):
-    rows = [(i, "http://h.example/x", f"<body><div>Site words</div><div>Own {i}</div></body>") for i in range(6)]
-    rows += [(7, None, None), (8, "http://h.example/y", ""), rows[0]]
-    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted((r.page_id, r.text) for r in got) == sorted([*((i, f"Own {i}") for i in range(6)), (0, "Own 0"), (7, ""), (8, "")])
+    menu = "<div><a>Home</a> <a>News</a></div>"
+    hosts = [("small", 4), ("large", 40), ("few", 3)]  # judged alike, but for too few pages
+    rows = [(100 * k + i, f"http://{h}.example/x", f"<body>{menu * (i < 6)}<div>Own {h} {i}</div><p class=p{i}>By the same author</p></body>")
+            for k, (h, n) in enumerate(hosts) for i in range(n)]
+    rows += [(700 + i, "http://art.example/", f"<div>Top</div><article><p>Said often</p><p>own {i}</p><section>Read more</section></article>") for i in range(5)]
+    rows += [(7, None, None), (8, "http://h.example/y", ""), rows[0], rows[0], (None, "x", "<p>no id"), (9, "http://long.example/", "<p>" + "word " * 300_000)]
+    df = spark.createDataFrame([(*r, "t", 1, "h") for r in rows], "page_id long, url string, html string, text string, key int, host string")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in html_text.main_text(df).collect())
+    assert got == plain_main_text(rows, html_text.MIN_PAGES)
+    text = dict(got)
+    assert text[0] == "Own small 0" and text[100] == "Own large 0" and text[200].startswith("Home News")
+    assert text[701] == "Said often\n\nown 1" and text[8] == text[7] == ""
+    assert html_text.main_text(df.limit(0)).collect() == []
 
 
 def test_chat_round_trip(spark):
@@ -234,3 +272,36 @@ def test_pipeline(spark, data):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0
+
+
+def test_nearest_relaxed(spark):
+    """Recall falls as the pruning radius shrinks, and one restores all."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 6))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 3000, 50):
+        score = u @ u[q]
+        score[q] = -9
+        want[q] = set(np.argsort(-score)[:5].tolist())
+    recall = {}
+    for factor in (0.0, 0.5, 0.8, 1.0):
+        got = neighbours.nearest(df, df["vec_id"] % 50 == 0, factor=factor).collect()
+        recall[factor] = sum(r.vec_id in want[r.query_id] for r in got) / (5 * len(want))
+    assert recall[1.0] == 1 and recall[0.8] >= 0.95 and recall[0.5] >= 0.7
+    assert recall[0.0] <= recall[0.5] <= recall[0.8] <= recall[1.0]
+
+
+def test_repeated_bytes_deals_one_id_by_text(spark):
+    from draftlens.llm.substring_dedup import sliced
+
+    docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert sliced(docs, "doc_id", "text", 32, by_text=True).select("slice").distinct().count() == 32
+
+
+def test_slices_follow_bytes(spark):
+    from draftlens.llm.common import partitions, slices
+
+    docs = spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert slices(docs, "text", size=10_000) == 100 and slices(docs, "text") == 4 * partitions(spark) == slices(docs.limit(0), "text")

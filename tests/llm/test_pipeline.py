@@ -10,13 +10,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from draftlens.llm import quality, rolling
+from draftlens.llm.common import row_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECE = re.compile(rb"[\t-\r ]+|[0-9a-z\x80-\xff]+|[^\t-\r 0-9a-z\x80-\xff]+")
-PRIOR = 0.01  # few texts, so the good model must start from little
+PRIOR, SHARE = 80, 0  # few texts, so the good model must start from little
 
 
 def corpus():
@@ -48,7 +50,7 @@ def features(text):
     return [h % quality.BUCKETS for h in one + two]
 
 
-def keep_good(rows, labels, noise):
+def importances(rows, labels):
     good_ids = {i for i, q, _ in labels if q == 1 and i is not None}
     found = [features(r[1]) for r in rows]
     raw, good = Counter(), Counter()
@@ -57,12 +59,17 @@ def keep_good(rows, labels, noise):
         if r[0] in good_ids:
             good.update(f)
     n, n_raw, n_good = quality.BUCKETS, sum(raw.values()), sum(good.values())
+    prior = quality.PRIOR + quality.SHARE * n_good
 
     def weight(b):
         share = (raw[b] + 1) / (n_raw + n)
-        return math.log((good[b] + PRIOR * n * share) / (n_good + PRIOR * n) / share)
+        return math.log((good[b] + prior * share) / (n_good + prior) / share)
+
+    return [math.fsum(map(weight, f)) * quality.SPAN / (len(f) + quality.SPAN) for f in found]
 
-    importance = [math.fsum(map(weight, f)) * min(1, quality.SPAN / max(1, len(f))) for f in found]
+
+def keep_good(rows, labels, noise):
+    importance = importances(rows, labels)
     key = [x + noise[r[0]] for x, r in zip(importance, rows, strict=True)]
     k = sum(x >= -2 for x in importance)
     cut = sorted(key, reverse=True)[k - 1]
@@ -107,7 +114,7 @@ def cut_repeats(rows, length=200):
     return out
 
 
-def mix(rows):
+def mix(rows, hashes):
     sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
     size = {s: sum(len(WORD.findall(r[1] or "")) for r in rows if r[3] == s) for s in sources}
@@ -126,7 +133,7 @@ def mix(rows):
         goal = math.floor(target[s] + 0.5)
         epochs, rest = divmod(goal, size[s]) if size[s] else (0, 0)
         order = [r for r in rows if r[3] == s]
-        order.sort(key=lambda r: hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest())
+        order.sort(key=lambda r: hashlib.md5(f"mix:{f'row:{hashes[r]}' if r[0] is None else r[0]}".encode()).hexdigest())
         for r in order:
             w = WORD.findall(r[1] or "")
             out += [r] * (epochs if w else 0)
@@ -138,11 +145,46 @@ def mix(rows):
     return out
 
 
+def test_importance_as_shipped(spark):
+    """Every weight of the model as it is set, short and long texts by one formula."""
+    rows, labels = corpus()
+    rows.append((500, "long " + " ".join(f"w{i % 97}" for i in range(60_000)), None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality.select(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = {r[:2]: x for r, x in zip(rows, importances(rows, labels), strict=True)}
+    assert len(got) == len(rows) and all(abs(r.importance - want[r.doc_id, r.text]) < 1e-6 for r in got)
+
+
+def test_buckets_grow(spark):
+    small = spark.range(10).select(F.lit("word " * 10).alias("text"))
+    large = spark.range(300).select(F.repeat(F.lit("word "), 400_000).alias("text"))
+    assert quality.buckets(small, "text") == quality.BUCKETS < quality.buckets(large, "text") <= quality.MOST
+    assert quality.buckets(small.limit(0), "text") == quality.BUCKETS
+
+
+def test_pipeline_with_clashing_names(spark, tmp_path):
+    """Columns named like what the stages make pass through all but the last one unchanged."""
+    rows, labels = corpus()
+    extra = "_row _key _nth _n _j _taken _copy row key kept importance doc size share rest slice component_id".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in extra})
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.where("doc_id IS NOT NULL").collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_equals_its_plain_version(spark, tmp_path, monkeypatch):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers as P
 
     monkeypatch.setattr(quality, "PRIOR", PRIOR)
+    monkeypatch.setattr(quality, "SHARE", SHARE)
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -152,7 +194,9 @@ def test_pipeline_equals_its_plain_version(spark, tmp_path, monkeypatch):
     kept = keep_good(rows, labels, noise)
     single = keep_one(kept)
     cut = cut_repeats(single)
-    mixed = mix(cut)
+    left = spark.createDataFrame(cut, docs.schema)
+    hashes = {tuple(r)[:-1]: r[-1] for r in left.select("*", row_hash(left)).collect()}
+    mixed = mix(cut, hashes)
     # Every stage has something to do here.
     assert len(rows) > len(kept) > len(single) and cut != single and len(mixed) != len(cut)
 
