@@ -19,10 +19,19 @@ from draftlens.llm.repeated_bytes import repeated_bytes
 ORACLE_SQL = None
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """Documents whose other columns have names that no stage uses; ``named`` undoes it."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "source") else f"column_{k}" for k, c in enumerate(docs.columns)])
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*plain(docs).columns).toDF(*docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    rows = quality.select(docs, table(spark, sf_dir, "labels"))
-    return rows.where("kept").select(*docs.columns)
+    """Documents that the quality classifier keeps. Null and empty texts are kept."""
+    rows = quality.select(plain(docs), table(spark, sf_dir, "labels"))
+    return named(rows.where("kept"), docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +40,24 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several rows with that id the one whose columns hash lowest stays. Rows
     without an id are kept only where no row of their group has one.
     """
-    chosen = simhash.representatives(docs).select(F.col("row").alias("_row"))
-    rows = docs.withColumn("_key", row_hash(docs)).join(chosen, F.col("_key") == F.col("_row"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    docs_ = plain(docs)
+    chosen = simhash.representatives(docs_).select("row")
+    rows = docs_.withColumn("row", row_hash(docs_)).join(chosen, "row", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("doc_id"))
+    return named(rows.withColumn("nth", nth).where("nth = 1"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated strings; what is left of a character at a cut goes too."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = repeated_bytes(docs, carry=others, as_text=True)
-    return rows.select("doc_id", F.col("kept").alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others]).select(*docs.columns)
+    docs_ = plain(docs)
+    others = tuple(c for c in docs_.columns if c not in ("doc_id", "text"))
+    rows = repeated_bytes(docs_, carry=others, as_text=True)
+    return named(rows.select("doc_id", F.col("kept").alias("text"), *[F.col("rest")[c].alias(c) for c in others]), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
-    return mixing.apply(docs)
+    return named(mixing.apply(plain(docs)), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
