@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from draftlens.llm import common as C
 from draftlens.llm import rolling as R
 
-#: Hash buckets of the n-gram models, at least and at most; between, 4 for each root of an n-gram.
+#: Hash buckets of the n-gram models, at least and at most; between, twice the root of the number of n-grams.
 BUCKETS, MOST = 1 << 13, 1 << 20
 
 #: Tokens that the good model starts from: so many, and so many for each token of good text.
@@ -45,10 +45,9 @@ KIND[48:58] = KIND[65:91] = KIND[97:123] = KIND[128:] = 1
 
 
 def buckets(docs: DataFrame, text_col: str) -> int:
-    """Buckets for a corpus, a power of two: from its bytes, about three an n-gram."""
+    """Buckets for a corpus: from its bytes, about three an n-gram."""
     size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
-    wanted = 4 * np.sqrt(size / 3)
-    return int(min(MOST, max(BUCKETS, 1 << int(np.ceil(np.log2(max(1.0, wanted)))))))
+    return int(min(MOST, max(BUCKETS, 2 * np.sqrt(size / 3))))
 
 
 def features(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
