@@ -9,6 +9,8 @@ from draftlens.functions.values import month_floor
 from draftlens.operators.joins import rank_by_hash
 
 AS_OF = "2024-02-15"
+#: Turns that a model lists at once.
+BLOCK = 4096
 
 
 def monthly_totals(model, assignment, suggestion, as_of: str = AS_OF, model_id: int | None = None) -> DataFrame:
@@ -85,23 +87,38 @@ def quota_violations(model, assignment, suggestion, as_of: str = AS_OF,
                        "stories", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def _filling_stages(totals: DataFrame) -> DataFrame:
-    """How stories pour over the eligible models of a type, emptiest first.
+def _turns(totals: DataFrame, moved: DataFrame) -> DataFrame:
+    """Which model takes which turn of its type: (type, turn, new_model_id), turns from 0.
 
-    While stage j lasts, the j emptiest models are level and take turns by id.
-    A stage lasts until they reach the load of the next model.
+    Stories fill the emptiest models first, as water finds its level. A type with M
+    stories to place and loads l1 <= l2 <= ... fills the first w models, w the last
+    one with w * lw - (l1 + ... + lw) <= M, in whole rounds and a rest. A model of
+    load l is level with k others while the level is at l, so the turn of its
+    round r (levels l + r) follows from prefix sums; every model lists its own turns.
     """
     order = Window.partitionBy("type").orderBy("story_count", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    stages = (
-        totals.withColumn("width", F.row_number().over(order))
-        .withColumn("members", F.sort_array(F.collect_list("id").over(upto)))
-        .withColumn("room", F.col("width") * (F.lead("story_count").over(order) - F.col("story_count")))
-        .withColumn("first", F.coalesce(F.sum("room").over(before), F.lit(0)))
-    )
-    end = F.when(F.col("room").isNotNull(), F.col("first") + F.col("room"))
-    return stages.select("type", "members", "width", "first", end.alias("end"))
+    # The registry has one row per model; a type's models are ranked in one task.
+    eligible = totals.select("type", "id", "story_count").withColumn("nth", F.row_number().over(order)).withColumn("load", F.sum("story_count").over(upto))
+    below = F.col("nth") * F.col("story_count") - F.col("load")
+    need = moved.groupBy("type").agg(F.count(F.lit(1)).alias("stories"))
+    filled = eligible.withColumn("below", below).join(need, "type").where("below < stories")
+    whole = filled.groupBy("type").agg(F.max("nth").alias("width"), F.max_by("load", "nth").alias("held"), F.first("stories").alias("stories"))
+    level = F.floor((F.col("held") + F.col("stories")) / F.col("width"))
+    whole = whole.withColumn("level", level).withColumn("rest", F.col("held") + F.col("stories") - F.col("level") * F.col("width")).drop("held", "width")
+    # Within a level, models take turns by id among those that have reached it.
+    rows = filled.select("type", "id", "story_count").join(whole, "type")
+    rows = rows.withColumn("at_end", F.row_number().over(Window.partitionBy("type").orderBy("id")))
+    takes = (F.col("level") - F.col("story_count") + F.when(F.col("at_end") <= F.col("rest"), 1).otherwise(0)).cast("long")
+    rows = rows.withColumn("takes", takes).where("takes > 0").withColumn("block", F.expr(f"explode(sequence(0L, takes - 1, {BLOCK}L))"))
+    rows = rows.withColumn("round", F.explode(F.sequence(F.col("story_count") + F.col("block"), F.col("story_count") + F.least(F.col("block") + BLOCK, F.col("takes")) - 1)))
+    # Turns before a round: w * r less the loads of the w models that are in it; all but the rest before the last.
+    before = F.count(F.lit(1)) * F.col("round") - F.sum("story_count")
+    rounds = rows.groupBy("type", "round").agg(before.alias("before"), F.first("level").alias("level"), F.first("rest").alias("rest"), F.first("stories").alias("stories"))
+    rounds = rounds.select("type", "round", F.when(F.col("round") == F.col("level"), F.col("stories") - F.col("rest")).otherwise(F.col("before")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("type", "round").orderBy("id")) - 1
+    turns = rows.withColumn("place", place).join(rounds, ["type", "round"])
+    return turns.select("type", (F.col("first") + F.col("place")).alias("rank"), F.col("id").alias("new_model_id"))
 
 
 def reassign_stories(model, assignment, suggestion, as_of: str = AS_OF, strict: bool = True) -> DataFrame:
@@ -109,20 +126,13 @@ def reassign_stories(model, assignment, suggestion, as_of: str = AS_OF, strict:
 
     Equal to moving one story after another, in order of story hash, each to the
     model that is least loaded at that moment (lowest id on a tie). A story of a
-    type without eligible models gets no new model.
+    type without eligible models gets no new model. Stories and turns are numbered
+    alike within a type and meet in one join on type and number.
     """
     bad = quota_violations(model, assignment, suggestion, as_of).select("model_id", "type", "reason")
     moved = assignment.join(bad, "model_id")
     key = F.md5(F.concat_ws(":", "story_hash", F.col("model_id").cast("string")))
     ranked = rank_by_hash(moved.withColumn("_key", key), "type", "_key").drop("_key")
-    stages = _filling_stages(story_totals(model, assignment, suggestion, as_of, strict))
-    r = F.col("rank")
-    placed = ranked.join(
-        stages.withColumnRenamed("type", "stage_type"),
-        (F.col("type") == F.col("stage_type")) & (r >= F.col("first"))
-        & (F.col("end").isNull() | (r < F.col("end"))),
-        "left",
-    )
-    turn = ((r - F.col("first")) % F.col("width")).cast("int")
-    return placed.select("story_hash", "type", F.col("model_id").alias("old_model_id"), "reason",
-                         F.get("members", turn).alias("new_model_id"))
+    turns = _turns(story_totals(model, assignment, suggestion, as_of, strict), moved)
+    return ranked.join(turns, ["type", "rank"], "left").select(
+        "story_hash", "type", F.col("model_id").alias("old_model_id"), "reason", "new_model_id")

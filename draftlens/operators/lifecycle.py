@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlens.functions.values import uuid_norm
-from draftlens.operators.joins import first_per_key
+from draftlens.operators.joins import first_per_key, null_safe
 from draftlens.operators.reports import FEEDBACK_TYPES, RATING_TYPES
 
 # The answers on offer for ratings; comments are free text.
@@ -29,8 +29,8 @@ def lookup_by_uuid(requested: DataFrame, suggestion: DataFrame) -> DataFrame:
 
 def _with_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     first = first_per_key(rows, keys, order).withColumn("is_first", F.lit(True))
-    # Nullable order columns do not occur; the row id makes the key unique.
-    marked = rows.join(first, keys + order, "left")
+    # Keys may be null and are then equal; the row id makes the order unique.
+    marked = null_safe(rows, first, keys + order)
     return marked.withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
 
@@ -39,12 +39,12 @@ def suggestion_get_or_create(requests: DataFrame, suggestion: DataFrame) -> Data
 
     ``rejected``: the context already has text. Otherwise the first request of a
     (story, context, type) is ``created``, or ``retried`` when the stored
-    suggestion failed; all others find it ``existing``.
+    suggestion failed; all others find it ``existing``. Null key columns are equal.
     """
     blank = F.coalesce(F.length("description"), F.lit(0)) == 0
     asked = _with_first(requests.where(blank), SUGGESTION_KEY, ["ts", "request_id"])
     stored = suggestion.select(*SUGGESTION_KEY, F.col("status").alias("stored"))
-    first = asked.where("is_first").join(stored, SUGGESTION_KEY, "left").select(
+    first = null_safe(asked.where("is_first"), stored, SUGGESTION_KEY).select(
         "request_id",
         F.when(F.col("stored").isNull(), "created").when(F.col("stored") == "failed", "retried")
         .otherwise("existing").alias("outcome"))

@@ -59,26 +59,24 @@ def ratings_rank(board: DataFrame, type: str) -> DataFrame:
 def correlations(table: DataFrame, metrics=CORRELATED, by_model: bool = False) -> DataFrame:
     """Pearson r and two-sided p of every pair of metrics.
 
-    Each row yields its complete pairs, which are summed per task in one pass as
-    central moments. r is NULL for fewer than two rows or a constant column.
+    One aggregate holds the co-moments of all pairs over their complete rows: counts,
+    covariances and variances that Spark merges from task to task as central
+    moments. No row is multiplied; only the result, one row for each model, is
+    unfolded into pairs. r is NULL for fewer than two rows or a constant column.
     """
-    cols = [column_of(m) for m in metrics]
-    pairs = F.array(*[
-        F.struct(F.lit(i * len(cols) + j).alias("pair"), F.lit(metrics[i]).alias("metric1"),
-                 F.lit(metrics[j]).alias("metric2"), F.col(cols[i]).alias("x"), F.col(cols[j]).alias("y"))
-        for i, j in combinations(range(len(cols)), 2)
-    ])
     by = ["model_name"] if by_model else []
-    long = table.select(*by, F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL")
-    moments = long.groupBy(*by, "metric1", "metric2").agg(
-        F.count("*").alias("n"), F.covar_pop("x", "y").alias("_c"),
-        F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"),
-    )
-    r = F.try_divide(F.col("_c"), F.sqrt(F.col("_vx") * F.col("_vy")))
+    pairs = [(a, b, F.col(column_of(a)), F.col(column_of(b))) for a, b in combinations(metrics, 2)]
+    sums = []
+    for k, (_, _, x, y) in enumerate(pairs):
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        sums += [F.count(x).alias(f"n{k}"), F.covar_pop(x, y).alias(f"c{k}"), F.var_pop(x).alias(f"x{k}"), F.var_pop(y).alias(f"y{k}")]
+    moments = table.groupBy(*by).agg(*sums)
+    of = lambda k, a, b: F.struct(F.lit(a).alias("metric1"), F.lit(b).alias("metric2"), F.col(f"n{k}").alias("n"),
+                                  F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"x{k}") * F.col(f"y{k}"))).alias("q"))
+    long = moments.select(*by, F.inline(F.array(*[of(k, a, b) for k, (a, b, _, _) in enumerate(pairs)]))).where("n > 0")
     # greatest and least skip NULL, so an undefined r is kept out of them.
-    r = F.when((F.col("n") >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    return moments.select(*by, "metric1", "metric2", "n", r.alias("r")).withColumn(
-        "p", pearson_p_value(F.col("r"), F.col("n")))
+    r = F.when((F.col("n") >= 2) & F.col("q").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("q"))))
+    return long.select(*by, "metric1", "metric2", "n", r.alias("r")).withColumn("p", pearson_p_value(F.col("r"), F.col("n")))
 
 
 def correlation_flags(matrix: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlens.functions.values import eq_all
+from draftlens.sources import files
 
 # What an inserted registry row holds unless told otherwise.
 MODEL_DEFAULTS = {"type": "scene_entry", "status": "inactive", "quota": -1}
@@ -64,6 +65,21 @@ def delete(df: DataFrame, where: dict | None = None, keys: DataFrame | None = No
     return df.where(~eq_all(where))
 
 
-def write_increment(scored: DataFrame, path: str) -> None:
-    """Append the scores of new suggestions to the stored ones."""
-    scored.write.mode("append").parquet(path)
+def stored_increments(spark: SparkSession, path: str) -> DataFrame | None:
+    """What all increments have stored; None before the first."""
+    parts = [n for n in files.children(spark, path) if n.startswith("increment=")]
+    return spark.read.parquet(*[files.literal(f"{path}/{n}") for n in parts]) if parts else None
+
+
+def write_increment(scored: DataFrame, path: str, increment: str, key: str = "suggestion_id") -> None:
+    """Store the scores of suggestions that have none yet, under the increment's name.
+
+    A repeat of an increment replaces what it wrote, and rows that another increment
+    holds are left out, so nothing is ever stored twice.
+    """
+    spark = scored.sparkSession
+    others = [n for n in files.children(spark, path) if n.startswith("increment=") and n != f"increment={increment}"]
+    if others:
+        held = spark.read.parquet(*[files.literal(f"{path}/{n}") for n in others]).select(key)
+        scored = scored.join(held, key, "left_anti")
+    scored.write.mode("overwrite").parquet(f"{path}/increment={increment}")

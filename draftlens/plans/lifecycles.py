@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from draftlens.functions.values import iso_text
 from draftlens.operators import lifecycle as L
 from draftlens.plans.registry import query, sql_list
+from draftlens.plans.relational import DEDUP, DELETED
 from draftlens.session import scratch_path
 from draftlens.streaming import jobs as J
+from draftlens.streaming import rules as S
 
 KEY = "story_hash, context_hash, type"
 
@@ -16,7 +20,7 @@ GET_OR_CREATE = f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, coalesce(length(description), 0) = 0 ORDER BY ts, request_id) AS rn FROM request_log)
 SELECT r.request_id, CASE WHEN coalesce(length(r.description), 0) > 0 THEN 'rejected' WHEN rn > 1 THEN 'existing'
   WHEN s.uuid IS NULL THEN 'created' WHEN s.status = 'failed' THEN 'retried' ELSE 'existing' END AS outcome
-FROM r LEFT JOIN suggestion s ON s.story_hash = r.story_hash AND s.context_hash = r.context_hash AND s.type = r.type
+FROM r LEFT JOIN suggestion s ON s.story_hash IS NOT DISTINCT FROM r.story_hash AND s.context_hash IS NOT DISTINCT FROM r.context_hash AND s.type IS NOT DISTINCT FROM r.type
 """
 
 
@@ -68,7 +72,7 @@ def _(t):
     return L.feedback_validate(t.feedback_log, required=("fluency",))
 
 
-@query("feedback_once", f"""
+FEEDBACK_ONCE = f"""
 WITH RECURSIVE {BATCHES},
 v AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY ts, batch_id) AS rn FROM b WHERE bad = 0 AND answers = kinds),
 walk AS (
@@ -79,8 +83,11 @@ walk AS (
   FROM walk w JOIN v ON v.suggestion_id = w.suggestion_id AND v.rn = w.rn + 1)
 SELECT b.batch_id, b.suggestion_id, b.answers, CASE WHEN bad > 0 THEN 'invalid response'
   WHEN answers <> kinds OR NOT fits THEN 'more than once' END AS reject_reason
-FROM b LEFT JOIN walk USING (batch_id, suggestion_id)
-""".replace("LEFT JOIN walk USING (batch_id, suggestion_id)", "LEFT JOIN walk ON walk.batch_id = b.batch_id"), "feedback_log")
+FROM b LEFT JOIN walk ON walk.batch_id = b.batch_id
+"""
+
+
+@query("feedback_once", FEEDBACK_ONCE, "feedback_log")
 def _(t):
     return L.feedback_once(t.feedback_log)
 
@@ -105,89 +112,138 @@ def _(t):
 
 
 # --- streams --------------------------------------------------------------
-# Each runs over the files at hand (availableNow) and returns what it wrote.
+# Each lays a log out as several files, streams over the files at hand
+# (availableNow), one in a micro-batch, and returns what it wrote.
+
+SLICES, BUCKETS = 4, 4
+
+
+def scattered(key: str):
+    """Files that have nothing to do with time, and the same in SQL."""
+    return F.pmod(F.col(key) * 7 + F.floor(F.col(key) / 10), F.lit(SLICES)), f"(({key} * 7 + {key} // 10) % {SLICES})"
 
 
-def stream(t, name: str):
-    """A derived log as a stream over the raw events file."""
-    from draftlens.sources.derive import derive_sql
+def staged(t, rows, label: str, part, closing=None):
+    """A log as a stream over files, written one after another; ``closing`` ends the last one."""
+    folder = scratch_path(t.spark, label)
+    for k in range(SLICES):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2 if closing is not None else 0):  # the second gives a batch in which all that waits is decided
+        S.closing_row(t.spark, rows.schema, closing).coalesce(1).write.mode("append").parquet(folder)
+    return J.read_log(t.spark, rows.schema, folder)
 
-    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
-    text, _ = derive_sql(name)
-    return t.spark.sql(text, events=events)
+
+def shuffled_days(rows, key: str, delay: timedelta):
+    """Files in order of time, but for rows that come later by up to the delay."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.col(key) * 7919, F.lit(int(delay.total_seconds() * 0.9)))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    return F.least(F.floor((at - F.lit(low or 0)) * SLICES / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(SLICES - 1))
 
 
 def places(t, label):
     return scratch_path(t.spark, label), scratch_path(t.spark, label + "-state")
 
 
-@query("stream_story_dedup", """
-SELECT md5(props) AS hash, min(event_id) AS event_id FROM (SELECT *, min(ts) OVER (PARTITION BY props) AS first FROM events) WHERE ts = first GROUP BY props
-""")
+@query("stream_story_dedup", DEDUP, "upload_log")
 def _(t):
     target, state = places(t, "dedup")
-    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
-    uploads = events.select("event_id", "ts", F.md5("props").alias("hash"))
-    J.first_wins(uploads, ["hash"], ["ts", "event_id"], target, state).awaitTermination()
-    return t.spark.read.parquet(target).select("hash", "event_id")
+    J.story_dedup(staged(t, t.upload_log, "uploads", scattered("upload_id")[0]), target, state, BUCKETS).awaitTermination()
+    rows = J.current(t.spark, target, ["hash"], J.UPLOADS)
+    return rows.withColumn("status", F.when(F.col("accepted_upload").isNull(), "failed").otherwise("ready"))
+
+
+@query("stream_first_upload", f"""
+WITH r AS (SELECT *, {scattered("upload_id")[1].replace("upload_id", "abs(upload_id)")} AS part FROM upload_log)
+SELECT upload_id, hash, CASE WHEN failed THEN 'failed'
+  WHEN row_number() OVER (PARTITION BY hash, failed ORDER BY part, upload_id) = 1 THEN 'accepted' ELSE 'repeat' END AS outcome FROM r
+""", "upload_log")
+def _(t):
+    """What became of each upload as it came; a failed one leaves its content open."""
+    target, state = places(t, "first-upload")
+    uploads = staged(t, t.upload_log, "uploads", scattered("upload_id")[0])
+    J.first_wins(uploads, ["hash"], ["upload_id"], target, state, ok=~F.col("failed"), buckets=BUCKETS).awaitTermination()
+    return J.outcomes(t.spark, target).select("upload_id", "hash", "outcome")
+
+
+HALF = timedelta(days=15)
 
 
-@query("stream_drop_repeats", "SELECT DISTINCT md5(props) AS hash FROM events")
+@query("stream_drop_repeats", f"""
+WITH r AS (SELECT event_id, ts, md5(props) AS hash, {scattered("event_id")[1]} AS part FROM events),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {HALF.days} DAY AS mark FROM r GROUP BY part),
+l AS (SELECT r.*, coalesce(ts < mark, false) AS late FROM r JOIN m USING (part))
+SELECT hash, count(*) FILTER (late) AS late, CAST(bool_or(NOT late) AS BIGINT) AS accepted,
+       count(*) FILTER (NOT late) - CAST(bool_or(NOT late) AS BIGINT) AS repeats FROM l GROUP BY hash
+""")
 def _(t):
-    """The delay spans the whole log, so each content is kept once."""
+    """Files out of order, so that rows come late: none is lost."""
     target, state = places(t, "repeats")
-    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
-    kept = J.drop_repeats(events.select("ts", F.md5("props").alias("hash")), ["hash"], "ts", delay="60 days")
-    J.append(kept, target, state).awaitTermination()
-    return t.spark.read.parquet(target).select("hash")
+    rows = t.raw("events").select("event_id", "ts", F.md5("props").alias("hash"))
+    events = staged(t, rows, "repeat-log", scattered("event_id")[0])
+    J.drop_repeats(events, ["hash"], "ts", target, state, delay=HALF, buckets=BUCKETS).awaitTermination()
+    of = lambda kind: F.count_if(F.col("outcome") == kind)
+    return J.outcomes(t.spark, target).groupBy("hash").agg(of("late").alias("late"), of("accepted").alias("accepted"), of("repeat").alias("repeats"))
+
 
+DAY = timedelta(days=1)
+LAST = "2999-01-01"
 
-@query("stream_get_or_create", f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, request_id) AS rn FROM request_log WHERE description IS NULL)
-SELECT {KEY}, request_id FROM r WHERE rn = 1
-""", "request_log")
+
+@query("stream_get_or_create", GET_OR_CREATE, "request_log suggestion")
 def _(t):
+    """One outcome for every request; the stored table is the state to begin with."""
     target, state = places(t, "created")
-    asked = stream(t, "request_log").where("description IS NULL")
-    J.first_wins(asked, L.SUGGESTION_KEY, ["ts", "request_id"], target, state).awaitTermination()
-    return t.spark.read.parquet(target).select(*L.SUGGESTION_KEY, "request_id")
+    log = t.request_log.withColumn("ts", F.col("ts").cast("timestamp"))
+    requests = staged(t, log, "requests", shuffled_days(log, "request_id", DAY), LAST)
+    S.get_or_create(requests, t.suggestion, target, state, delay=DAY).awaitTermination()
+    return t.spark.read.schema(S.ASKED).parquet(target)
 
 
-@query("stream_finalize_once", f"SELECT event_id, uuid, entry FROM ({FINALIZE.strip()}) WHERE outcome = 'finalized'".replace(
-    "LEFT JOIN suggestion s ON s.uuid = e.uuid", "JOIN suggestion s ON s.uuid = e.uuid"), "finalize_log suggestion")
+@query("stream_feedback_once", FEEDBACK_ONCE, "feedback_log")
 def _(t):
-    target, state = places(t, "final")
-    J.first_wins(stream(t, "finalize_log"), ["uuid"], ["ts", "event_id"], target, state).awaitTermination()
-    kept = t.spark.read.parquet(target)
-    return kept.join(t.suggestion.select("uuid"), "uuid", "left_semi").select("event_id", "uuid", "entry")
+    """Whole submissions, decided in order of time."""
+    target, state = places(t, "answers")
+    log = t.feedback_log.groupBy("batch_id", "suggestion_id", F.col("ts").cast("timestamp").alias("ts")).agg(
+        F.sort_array(F.collect_list(F.struct("type", "response"))).alias("answers"))  # a submission has a handful of answers
+    rows = staged(t, log, "submissions", shuffled_days(log, "batch_id", DAY), LAST)
+    S.feedback_once(rows, target, state, delay=DAY).awaitTermination()
+    return t.spark.read.schema(S.SAID).parquet(target).withColumn("answers", F.col("answers").cast("long"))
 
 
-@query("stream_answer_once", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id, type ORDER BY ts, row_id) AS rn FROM feedback_log)
-SELECT row_id, suggestion_id, type, response FROM r WHERE rn = 1
-""", "feedback_log")
+@query("stream_finalize_once", f"""
+SELECT e.event_id, e.uuid, e.entry, CASE WHEN s.uuid IS NULL THEN 'unknown suggestion'
+  WHEN row_number() OVER (PARTITION BY e.uuid ORDER BY {scattered("event_id")[1].replace("event_id", "e.event_id")}, e.ts, e.event_id) = 1 THEN 'finalized' ELSE 'finalized twice' END AS outcome
+FROM finalize_log e LEFT JOIN suggestion s ON s.uuid = e.uuid
+""", "finalize_log suggestion")
 def _(t):
-    target, state = places(t, "answers")
-    J.first_wins(stream(t, "feedback_log"), ["suggestion_id", "type"], ["ts", "row_id"], target, state).awaitTermination()
-    return t.spark.read.parquet(target).select("row_id", "suggestion_id", "type", "response")
+    """In order of arrival; unknown suggestions and second finalizations keep their row."""
+    target, state = places(t, "final")
+    known = t.suggestion.select("uuid", F.lit(True).alias("known"))
+    log = staged(t, t.finalize_log, "finalizations", scattered("event_id")[0]).join(known, "uuid", "left")
+    J.first_wins(log, ["uuid"], ["ts", "event_id"], target, state, ok=F.col("known"), buckets=BUCKETS).awaitTermination()
+    name = F.when(F.col("outcome") == "accepted", "finalized").when(F.col("outcome") == "failed", "unknown suggestion").otherwise("finalized twice")
+    return J.outcomes(t.spark, target).select("event_id", "uuid", "entry", name.alias("outcome"))
 
 
 @query("stream_status_latest", LATEST, "status_log")
 def _(t):
     target, state = places(t, "status")
-    J.status_latest(stream(t, "status_log"), target, state).awaitTermination()
-    return J.current(t.spark, target, ["uuid"]).withColumn("ts", iso_text(F.col("ts")))
+    J.status_latest(staged(t, t.status_log, "changes", scattered("event_id")[0]), target, state, buckets=BUCKETS).awaitTermination()
+    return J.current(t.spark, target, ["uuid"], J.STATUS).select("uuid", "status", iso_text(F.col("ts")).alias("ts"), "changes")
 
 
 @query("stream_monthly_totals", """
-SELECT CAST(user_id % 20 AS INT) AS model_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS suggestion_count FROM events GROUP BY ALL
-""")
+SELECT a.model_id, strftime(date_trunc('month', s.ts), '%Y-%m') AS month, count(*) AS suggestion_count
+FROM suggestion s JOIN assignment a ON a.story_hash = s.story_hash GROUP BY ALL
+""", "suggestion assignment")
 def _(t):
+    """Months close as time goes on; open and closed ones add up to the whole."""
     target, state = places(t, "monthly")
-    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
-    made = events.select((F.col("user_id") % 20).cast("int").alias("model_id"), "ts")
-    J.monthly_counts(made, target, state).awaitTermination()
-    return J.current(t.spark, target, ["model_id", "month"]).withColumn("month", F.date_format("month", "yyyy-MM"))
+    log = t.suggestion.select("id", "story_hash", F.col("ts").cast("timestamp").alias("ts"))
+    made = staged(t, log, "made", shuffled_days(log, "id", DAY))
+    J.monthly_totals(made, t.assignment, target, state, delay=DAY, buckets=BUCKETS).awaitTermination()
+    totals = J.months(t.spark, target).groupBy("model_id", "month").agg(F.sum("suggestion_count").alias("suggestion_count"))
+    return totals.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 @query("stream_latest_export", """
@@ -195,8 +251,19 @@ SELECT concat('g', user_id) AS game_pid, strftime(max(date_trunc('second', ts)),
 """)
 def _(t):
     target, state = places(t, "exports")
-    events = J.read_log(t.spark, t.raw("events").schema, f"{t.path}/events.parquet")
-    exports = events.select(F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_pid"),
-                            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"))
-    J.latest_export(exports, target, state).awaitTermination()
-    return J.current(t.spark, target, ["game_pid"]).withColumn("latest", iso_text(F.col("latest")))
+    log = t.raw("events").select("event_id", F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_pid"),
+                                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"))
+    J.latest_export(staged(t, log, "export-log", scattered("event_id")[0]), target, state, BUCKETS).awaitTermination()
+    return J.current(t.spark, target, ["game_pid"], J.EXPORTS).withColumn("latest", iso_text(F.col("latest")))
+
+
+@query("stream_retention", DELETED, "story suggestion")
+def _(t):
+    """The cleanup, kept up to date over exports and uses in any order."""
+    target, state = places(t, "retention")
+    exports = t.story.select(F.lit("export").alias("kind"), "id", "hash", "game_pid", "exported_at")
+    none = F.lit(None).cast("string")
+    uses = t.suggestion.select(F.lit("use").alias("kind"), F.col("id"), F.col("story_hash").alias("hash"), none.alias("game_pid"), none.alias("exported_at"))
+    log = exports.unionByName(uses)
+    J.retention(staged(t, log, "retention-log", F.pmod(F.xxhash64("kind", "id"), F.lit(SLICES))), target, state, BUCKETS).awaitTermination()
+    return J.deletions(t.spark, target).select("id", "hash", "game_pid", "exported_at")

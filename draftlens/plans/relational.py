@@ -31,17 +31,38 @@ def core(t):
     return t.model, t.assignment, t.suggestion, t.story
 
 
+DASHED = "concat(substr({0},1,8),'-',substr({0},9,4),'-',substr({0},13,4),'-',substr({0},17,4),'-',substr({0},21))"
+
+
 @query("src_tables", """
-SELECT 'model' AS name, count(*) AS n FROM model UNION ALL SELECT 'story', count(*) FROM story
-UNION ALL SELECT 'assignment', count(*) FROM assignment UNION ALL SELECT 'suggestion', count(*) FROM suggestion
-UNION ALL SELECT 'feedback', count(*) FROM feedback
+SELECT s.id, s.uuid, s.user_pid, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS ts, s.is_finalized, CAST(length(s.finalized) AS INT) AS chars, st.game_pid, st.exported_at,
+  'pending' AS story_status, m.name AS model_name, 'scene_entry' AS model_type, CAST(m.quota AS INT) AS quota, f.answers
+FROM suggestion s JOIN assignment a USING (story_hash) JOIN model m ON m.id = a.model_id JOIN story st ON st.hash = s.story_hash
+LEFT JOIN (SELECT suggestion_id, count(*) AS answers FROM feedback GROUP BY suggestion_id) f ON f.suggestion_id = s.uuid
 """, CORE + " feedback")
 def _(t):
-    count = lambda n: getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-    out = count("model")
-    for n in ("story", "assignment", "suggestion", "feedback"):
-        out = out.unionByName(count(n))
-    return out
+    """Stored tables with other orders, widths and names, and columns too few and too many."""
+    from draftlens.session import scratch_path
+    from draftlens.sources.tables import Tables
+
+    path = scratch_path(t.spark, "stored")
+    more = F.lit("x").alias("note")
+    put = lambda df, name: df.write.parquet(f"{path}/{name}.parquet")
+    dashed = lambda c: F.upper(F.expr(DASHED.format(c)))
+    put(t.model.select(F.col("quota").cast("long").alias("quota"), more, "url", "status", "name", F.col("id").cast("long").alias("id")), "model")
+    put(t.story.select(F.to_json(F.struct("game_pid", "exported_at")).alias("story"), "hash", "id"), "story")
+    put(t.assignment.select("story_hash", F.col("model_id").cast("long").alias("model_id"), more), "assignment")
+    texts = [F.col("generated"), F.coalesce("finalized", F.lit("null")).alias("finalized")]
+    put(t.suggestion.select(*texts, more, F.col("ts").alias("timestamp"), dashed("uuid").alias("uuid"), F.to_json(F.struct("user_pid")).alias("context"),
+                            "status", "id", "story_hash", "context_hash", "created_at"), "suggestion")
+    put(t.feedback.select("response", dashed("suggestion_id").alias("suggestion_id"), "type"), "feedback")
+    s = Tables(t.spark, path)
+    rated = s.feedback.groupBy(F.col("suggestion_id").alias("uuid")).agg(F.count(F.lit(1)).alias("answers"))
+    told = s.story.select(F.col("hash").alias("story_hash"), "game_pid", "exported_at", F.col("status").alias("story_status"))
+    named = s.model.select(F.col("id").alias("model_id"), F.col("name").alias("model_name"), F.col("type").alias("model_type"), "quota")
+    rows = s.suggestion.join(s.assignment, "story_hash").join(named, "model_id").join(told, "story_hash").join(rated, "uuid", "left")
+    return rows.select("id", "uuid", "user_pid", iso_text(F.col("ts")).alias("ts"), "is_finalized", F.length("finalized").alias("chars"), "game_pid",
+                       "exported_at", "story_status", "model_name", "model_type", "quota", "answers")
 
 
 @query("avg_ratings", f"""
@@ -103,19 +124,15 @@ def _(t):
     return R.exclude_games(t.story).select("id", "game_pid")
 
 
-RANKED = f"""
-WITH r AS (SELECT s.id AS suggestion_id, m.name AS model_name, s.story_hash, s.generated, s.finalized,
-    row_number() OVER (PARTITION BY m.name ORDER BY s.id) AS rno {FROM_DONE} {WHERE_DONE})
-SELECT suggestion_id, model_name, story_hash, generated, finalized FROM r
-"""
+CONTEXTS = f"SELECT s.id AS suggestion_id, m.name AS model_name, s.story_hash, s.generated, s.finalized {FROM_DONE} {WHERE_DONE}"
 
 
-@query("judgement_contexts", RANKED + " WHERE rno <= 5", CORE)
+@query("judgement_contexts", CONTEXTS + " QUALIFY count(*) OVER (PARTITION BY m.name ORDER BY s.id) <= 5", CORE)
 def _(t):
     return R.judgement_contexts(*core(t), limit=5)
 
 
-@query("judgement_contexts_all", RANKED, CORE)
+@query("judgement_contexts_all", CONTEXTS, CORE)
 def _(t):
     return R.judgement_contexts(*core(t))
 
@@ -202,10 +219,11 @@ def _(t):
 LATEST = """
 latest AS (SELECT game_pid, max(CAST(replace(exported_at, 'T', ' ') AS TIMESTAMP)) AS latest FROM story GROUP BY game_pid)
 """
-DELETED = LATEST + """,
-gone AS (SELECT s.id, s.hash, s.game_pid, s.exported_at FROM story s JOIN latest l ON l.game_pid = s.game_pid
-  LEFT JOIN suggestion g ON g.story_hash = s.hash
-  WHERE g.uuid IS NULL AND CAST(replace(s.exported_at, 'T', ' ') AS TIMESTAMP) < l.latest)
+# Newest time beside each export; what a suggestion refers to is in use.
+DELETED = """
+SELECT id, hash, game_pid, exported_at FROM (
+  SELECT *, max(told) OVER (PARTITION BY game_pid) AS newest FROM (SELECT *, CAST(replace(exported_at, 'T', ' ') AS TIMESTAMP) AS told FROM story)) e
+WHERE game_pid IS NOT NULL AND told < newest AND NOT EXISTS (FROM suggestion WHERE story_hash = e.hash)
 """
 
 
@@ -214,12 +232,12 @@ def _(t):
     return K.latest_export_by_game(t.story).withColumn("latest", iso_text(F.col("latest")))
 
 
-@query("stories_to_delete", f"WITH {DELETED} SELECT * FROM gone", "story suggestion")
+@query("stories_to_delete", DELETED, "story suggestion")
 def _(t):
     return K.stories_to_delete(t.story, t.suggestion)
 
 
-KEPT = f"WITH {DELETED} SELECT id, hash, game_pid, exported_at, status FROM story WHERE id NOT IN (SELECT id FROM gone)"
+KEPT = f"WITH gone AS ({DELETED}) SELECT id, hash, game_pid, exported_at, status FROM story WHERE id NOT IN (SELECT id FROM gone)"
 
 
 @query("retained_stories", KEPT, "story suggestion")
@@ -232,10 +250,13 @@ def _(t):
     return K.retained_stories(t.story, t.suggestion).groupBy("game_pid").agg(F.count("*").alias("stories"))
 
 
-@query("story_dedup", """
+DEDUP = """
 SELECT hash, min(upload_id) AS first_upload, min(upload_id) FILTER (NOT failed) AS accepted_upload, count(*) AS uploads,
   CASE WHEN bool_and(failed) THEN 'failed' ELSE 'ready' END AS status FROM upload_log GROUP BY hash
-""", "upload_log")
+"""
+
+
+@query("story_dedup", DEDUP, "upload_log")
 def _(t):
     return K.story_dedup(t.upload_log)
 
@@ -301,9 +322,6 @@ def _(t):
     return S.scan_all(t.story)
 
 
-DASHED = "concat(substr({0},1,8),'-',substr({0},9,4),'-',substr({0},13,4),'-',substr({0},17,4),'-',substr({0},21))"
-
-
 @query("lookup_by_uuid", f"""
 WITH asked AS (SELECT {DASHED.format('uuid')} AS requested, uuid FROM suggestion UNION ALL SELECT hash, hash FROM story)
 SELECT a.requested, a.uuid, s.id, s.status FROM asked a LEFT JOIN suggestion s ON s.uuid = a.uuid

@@ -48,17 +48,21 @@ def local_session(cores: str | int = "*", app: str = "draftlens", memory: str =
     return tune(spark)
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only a local session without the setting (a test) gets a folder of its own.
+    Only a local session without the setting (a test) gets a folder of its own,
+    one for each application. The setting itself cannot be changed in a session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="draftlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN_DIRS.get(app) or _OWN_DIRS.setdefault(app, tempfile.mkdtemp(prefix="draftlens-"))
     return path.rstrip("/")
 
 

@@ -1,11 +1,15 @@
 """Nested exports built from conversations, and readers and writers for JSON.
 
-Each turn is a scene entry; its story is the export as it stood just before.
+Each turn is a scene entry; an export holds the turns of a conversation once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +25,7 @@ def scene_entries(conversations: DataFrame) -> DataFrame:
         F.lit("obstacle").alias("namespace"), F.lit("Obstacle").alias("pretty_namespace"),
         F.lit(0).alias("polarity"), F.concat(F.lit(f"about {name} "), role).alias("description"),
         F.lit("all is well").alias("success_stakes"), _null().alias("failure_stakes"),
-        F.lit(False).alias("is_deleted"), F.lit(False).alias("is_wild"))
+        F.lit(False).alias("is_deleted"), F.lit(False).alias("is_wild"), F.lit(1).alias("stack_size"))
     no_cards = F.array().cast("array<struct<card_id:string>>")
     stack = F.to_json(F.array(F.struct(F.concat(F.lit("c"), turn.cast("string")).alias("card_id"),
                                        (turn + 1).cast("int").alias("stack_size"))))
@@ -46,7 +50,7 @@ def scene_entries(conversations: DataFrame) -> DataFrame:
         F.when(role != "system", card("gate")).alias("target_challenge_card"),
         F.when(conv % 6 == 0, F.array().cast("array<struct<card_id:string,name:string,namespace:string,"
                "pretty_namespace:string,polarity:int,description:string,success_stakes:string,"
-               "failure_stakes:string,is_deleted:boolean,is_wild:boolean>>"))
+               "failure_stakes:string,is_deleted:boolean,is_wild:boolean,stack_size:int>>"))
         .otherwise(F.array(card("key"), card("rope"))).alias("cards_played_on_challenge"),
         _null("int").alias("challenge_completion_polarity"),
         _null().alias("place_card"),
@@ -63,38 +67,63 @@ def scene_entries(conversations: DataFrame) -> DataFrame:
 
 
 def story_exports(conversations: DataFrame) -> DataFrame:
-    """The export before each turn: all turns before it, in scenes of their own.
+    """One export for each conversation: its turns in order, in scenes of their own.
 
-    The turns of a conversation are gathered once, as an export is one value.
+    A turn is written once. An export is one value, so a conversation's turns meet
+    in one row.
     """
     told = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("told"))
-    rows = conversations.select("conv_id", "turn").join(told, "conv_id")
     scene = lambda t: F.struct(F.array(F.struct(t["text"].alias("description"))).alias("entries"))
-    before = F.transform(F.filter("told", lambda t: t["turn"] < F.col("turn")), scene)
     person = lambda n, name: F.struct(F.lit(n).alias("character_seq_id"), F.lit(name).alias("name"),
                                       F.concat(F.lit(f"{name} of c"), F.col("conv_id").cast("string")).alias("description"))
     story = F.struct(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("game_pid"),
         F.lit("2024-01-09T00:00:00").alias("exported_at"),
-        before.alias("scenes"),
+        F.transform("told", scene).alias("scenes"),
         F.array(person("1", "Ada"), person("2", "Ben"), person("1", "Cyd")).alias("characters"),
     )
-    return rows.select("conv_id", "turn", F.to_json(story, {"ignoreNullFields": "false"}).alias("story"))
+    return told.select(story["game_pid"].alias("game_pid"), F.to_json(story, {"ignoreNullFields": "false"}).alias("story"))
 
 
 def judged_entries(conversations: DataFrame) -> DataFrame:
-    """Story and entry JSON side by side, as the context export reads them."""
-    pairs = scene_entries(conversations).join(story_exports(conversations), ["conv_id", "turn"])
-    return pairs.select(
+    """A suggestion for each turn: its game, how many scenes it saw, and the entry.
+
+    What a suggestion saw is named by game and position, not copied.
+    """
+    seen = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return scene_entries(conversations).withColumn("position", seen).select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("suggestion_id"),
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("model_name"),
-        "story", F.col("entry").alias("generated"), F.col("entry").alias("finalized"))
+        "game_pid", "position", F.col("entry").alias("generated"), F.col("entry").alias("finalized"))
 
 
 def read_story_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Story exports, one per file or one per line; .gz files are decoded.
+    """Story exports, one per file or one per line; .gz and .deflate files are decoded.
 
     Keeps the raw text beside a variant, which is NULL when the text is not JSON.
     """
     raw = spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "raw")
     return raw.select("raw", F.try_parse_json("raw").alias("story"))
+
+
+@F.pandas_udf("string")
+def _inflate(body: pd.Series, encoding: pd.Series) -> pd.Series:
+    def text(b, kind):
+        if b is None:
+            return None
+        try:
+            return (gzip.decompress(b) if kind == "gzip" else zlib.decompress(b) if kind == "deflate" else b).decode()
+        except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+            return None
+
+    return pd.Series([text(b, k) for b, k in zip(body, encoding, strict=True)], dtype="object")
+
+
+def decode_bodies(requests: DataFrame, body: str = "body", encoding: str = "encoding") -> DataFrame:
+    """Story uploads as they were sent: the body as text and as a variant.
+
+    ``encoding`` is gzip, deflate or anything else for plain. Bodies that cannot be
+    decoded have a NULL text, those that are no JSON a NULL story.
+    """
+    read = requests.withColumn("raw", _inflate(F.col(body), F.col(encoding)))
+    return read.withColumn("story", F.try_parse_json("raw"))

@@ -59,3 +59,27 @@ STORY = _struct(
     scenes=T.ArrayType(_struct("", entries=T.ArrayType(_struct("description:string")))),
     characters=T.ArrayType(_struct("character_seq_id:string name:string description:string")),
 )
+
+# Words that read as truth values, and what an address must look like.
+TRUTHS = ("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes")
+URL_PATTERN = (r"^(?i:https?)://(?:[^\s/?#@]*@)?(?:[a-zA-Z0-9_](?:[a-zA-Z0-9_-]*[a-zA-Z0-9_])?(?:\.[a-zA-Z0-9_](?:[a-zA-Z0-9_-]*[a-zA-Z0-9_])?)*\.?"
+               r"|\[[0-9a-fA-F:.]+\])(?::[0-9]{1,5})?(?:[/?#]\S*)?$")
+
+# Rules of an entry: field to leaf type, list of one rule, or fields. "!" must be given,
+# "?" may be null but not left out.
+IMAGE_RULES = {"url": "url", "attribution_url": "url or empty", "attribution_text": "text", "alt_text": "text"}
+STACK_RULES = {"card_id!": "text", "stack_size!": "int"}
+CARD_RULES = {
+    "card_id!": "text", "name": "text", "namespace!": "namespace", "pretty_namespace!": "pretty namespace", "image": IMAGE_RULES, "polarity!": "int",
+    "description": "text", "author_user_pid": "text", "author_character_seq_id": "text", "is_deleted!": "bool", "is_wild!": "bool",
+    "via_wild_exchanged_for": "exchange", "is_edited": "bool", "world_card_id": "text", "redacted": "bool", "stack_size?": "int",
+    "challenge_points": "int", "challenge_points_polarities": ["int"], "success_stakes": "text", "failure_stakes": "text", "suggested_stack_size": "int",
+    "suggested_success_stakes": "text", "suggested_failure_stakes": "text", "suggested_challenge_points": "int", "suggested_strength_card_id": "text",
+    "suggested_weakness_card_id": "text"}
+AUTOTEXT_RULES = {"type!": "autotext type", "to_character_seq_id": "text", "card": CARD_RULES, "new_card": CARD_RULES, "automatic!": "bool", "text!": "text"}
+ENTRY_RULES = {
+    "user_pid!": "text", "seq_id!": "text", "format!": "format", "pretty_format!": "text", "character_seq_id": "text", "role!": "role", "description": "text",
+    "created_at!": "datetime", "image": IMAGE_RULES, "hand_context!": {"pre!": "hand", "post!": "hand"}, "challenge_cards!": [CARD_RULES],
+    "target_challenge_card": CARD_RULES, "cards_played_on_challenge!": [CARD_RULES], "challenge_completion_polarity": "int", "place_card": CARD_RULES,
+    "cards_for_pickup!": [CARD_RULES], "autotexts!": [AUTOTEXT_RULES], "revisions_requested": "bool", "revision_request_reason": "text",
+    "author_is_narrator_when_published!": "bool", "redacted": "bool"}

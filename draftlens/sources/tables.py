@@ -11,7 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from draftlens.session import tune
+from draftlens.sources import files
 from draftlens.sources.derive import DERIVED, derive_sql
+from draftlens.sources.stored import SCHEMAS, reconcile
 
 
 class Tables:
@@ -30,6 +32,10 @@ class Tables:
         return self._raw[name]
 
     def _derived(self, name: str) -> DataFrame:
+        """The stored table if the folder has one (logs are always derived), else the derived one."""
+        path = f"{self.path}/{name}.parquet"
+        if name in SCHEMAS and files.exists(self.spark, path):
+            return reconcile(self.spark.read.parquet(files.literal(path)), name)
         text, raw_names = derive_sql(name)
         return self.spark.sql(text, **{raw: self.raw(raw) for raw in raw_names})
 

@@ -1,6 +1,8 @@
+import functools
 import gzip
 import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,8 @@ from draftlens.operators import contexts as C
 from draftlens.operators import lifecycle as L
 from draftlens.operators import retention as K
 from draftlens.operators.cleaning import clean_suggestions
-from draftlens.sources.scenes import read_story_json
+from draftlens.sources.scenes import decode_bodies, judged_entries, read_story_json, story_exports
 from draftlens.sources.wordlists import load_word_list
-from draftlens.streaming import jobs as J
 
 FEEDBACK = "row_id long, batch_id long, ts long, suggestion_id string, type string, response string"
 
@@ -65,6 +66,15 @@ def test_get_or_create(spark):
     assert got == {1: "existing", 2: "existing", 3: "created", 4: "retried", 5: "existing", 6: "rejected"}
 
 
+def test_get_or_create_with_null_keys(spark):
+    """A null key is a key: its first request creates, later ones find it."""
+    requests = spark.createDataFrame([(1, 1, "h", None, "e", None), (2, 2, "h", None, "e", None), (3, 3, None, None, None, None)],
+                                     "request_id int, ts int, story_hash string, context_hash string, type string, description string")
+    stored = spark.createDataFrame([(None, None, None, "failed")], "story_hash string, context_hash string, type string, status string")
+    got = {r.request_id: r.outcome for r in L.suggestion_get_or_create(requests, stored).collect()}
+    assert got == {1: "created", 2: "existing", 3: "retried"}
+
+
 def test_gates(spark):
     suggestion = spark.createDataFrame([("s", "done"), ("t", "failed")], "uuid string, status string")
     batches = spark.createDataFrame([(1, "s"), (2, "t"), (3, "u")], "batch_id int, suggestion_id string")
@@ -88,38 +98,54 @@ def test_clean_suggestions(spark):
     assert got == [("failed", "old"), ("done", "He ran. "), ("executing", "He ran. Then she"), ("done", "")]
 
 
+CARD = {"card_id": "k", "namespace": "goal", "pretty_namespace": "Goal", "name": "n", "description": "d",
+        "polarity": 0, "is_deleted": False, "is_wild": False, "stack_size": None}
+
+
+@functools.cache
+def VALIDATED(spark):
+    """All the entries of the test below, validated in one job."""
+    texts = [c[0] for c in test_entry_validate.pytestmark[0].args[1]]
+    return {r.entry: r.errors for r in C.entry_validate(spark.createDataFrame([(t,) for t in texts], "entry string")).collect()}
+
+
 def entry(**changes):
-    card = {"card_id": "k", "namespace": "goal", "pretty_namespace": "Goal", "name": "n", "description": "d",
-            "polarity": 0, "is_deleted": False, "is_wild": False}
+    card = CARD
     base = {
         "user_pid": "u", "seq_id": "1", "format": "move", "pretty_format": "Move", "character_seq_id": "1",
         "role": "character:1", "description": "text", "created_at": "2024-1-2 3:4:5 UTC",
         "hand_context": {"pre": [{"card_id": "k", "stack_size": 1}], "post": "unchanged"}, "challenge_cards": [],
-        "target_challenge_card": None, "cards_played_on_challenge": [card], "cards_for_pickup": [], "autotexts": [],
+        "target_challenge_card": None, "image": None, "cards_played_on_challenge": [card], "cards_for_pickup": [], "autotexts": [],
         "author_is_narrator_when_published": False,
     }
     return json.dumps({**base, **changes})
 
 
 @pytest.mark.parametrize("text,errors", [
-    (entry(), ""), (entry(format="dance"), "format"), (entry(role="director"), "role"), (entry(role="narrator"), ""),
-    (entry(created_at="noon"), "created_at"), (entry(user_pid=None), "missing user_pid"),
-    (entry(challenge_cards=[{"card_id": "x", "namespace": "nowhere", "pretty_namespace": "Goal"}]), "cards"),
-    (entry(target_challenge_card={"card_id": "x", "namespace": "goal", "pretty_namespace": "Goal"}), "cards"),
-    (entry(hand_context={"pre": "unchanged", "post": "lost"}), "hand"),
-    (entry(hand_context={"pre": "unchanged", "post": [{"card_id": "k"}]}), "hand"),
+    (entry(), ""), (entry(format="dance"), "format: format"), (entry(role="director"), "role: role"), (entry(role="narrator"), ""),
+    (entry(created_at="noon"), "created_at: datetime"), (entry(user_pid=None), "user_pid: missing"), (entry(seq_id=7), ""), (entry(seq_id=True), "seq_id: text"),
+    (entry(challenge_cards=[CARD, {**CARD, "namespace": "nowhere", "polarity": "high"}]), "challenge_cards[1].namespace: namespace; challenge_cards[1].polarity: int"),
+    (entry(challenge_cards=[5, None]), "challenge_cards[0]: object; challenge_cards[1]: missing"), (entry(challenge_cards="none"), "challenge_cards: list"),
+    (entry(challenge_cards=[{k: v for k, v in CARD.items() if k != "stack_size"}]), "challenge_cards[0].stack_size: missing"),
+    (entry(target_challenge_card={**CARD, "is_wild": "maybe", "is_deleted": "yes", "polarity": "-1"}), "target_challenge_card.is_wild: bool"),
+    (entry(target_challenge_card={**CARD, "image": {"url": "not a url", "attribution_url": "", "alt_text": 3}}), "target_challenge_card.image.url: url"),
+    (entry(image={"url": "https://example.com:80/a?b#c", "attribution_url": "ftp://x"}), "image.attribution_url: url or empty"),
+    (entry(image=5), "image: object"), (entry(image={"url": "http://"}), "image.url: url"), (entry(image={"url": "http://a b"}), "image.url: url"),
+    (entry(hand_context={"pre": "unchanged", "post": "lost"}), "hand_context.post: hand"), (entry(hand_context={"pre": "unchanged"}), "hand_context.post: missing"),
+    (entry(hand_context={"pre": "unchanged", "post": [{"card_id": "k"}]}), "hand_context.post[0].stack_size: missing"),
     (entry(autotexts=[{"type": "giveCard", "automatic": True, "text": "t", "card": None}]), ""),
-    (entry(autotexts=[{"type": "fly", "automatic": True, "text": "t"}]), "autotexts"),
+    (entry(autotexts=[{"type": "fly", "automatic": 2, "text": "t", "card": {**CARD, "challenge_points_polarities": [1, "x"]}}]),
+     "autotexts[0].type: autotext type; autotexts[0].card.challenge_points_polarities[1]: int; autotexts[0].automatic: bool"),
+    ("[]", ": object"), (None, "missing"), ("{oops", "malformed"),
 ])
 def test_entry_validate(spark, text, errors):
-    df = C.entry_validate(spark.createDataFrame([(text,)], "entry string"))
-    assert df.first().errors == errors
+    assert VALIDATED(spark)[text] == errors
 
 
-def test_malformed_entry_is_quarantined(spark):
+def test_faulty_entries_are_quarantined(spark):
     df = C.entry_validate(spark.createDataFrame([("{oops",), (entry(),)], "entry string"))
     good, bad = C.split_valid(df)
-    assert good.count() == 1 and bad.first().errors.startswith("malformed,missing user_pid")
+    assert good.count() == 1 and bad.first().errors == "malformed"
 
 
 def test_contexts(spark):
@@ -139,6 +165,44 @@ def test_contexts(spark):
     assert audit[1] == ("missing challenge", True)
 
 
+def test_contexts_of_shared_stories(spark):
+    """A story named by many contexts gives what each would get from a copy as it stood."""
+    told = {"game_pid": "g", "scenes": [{"entries": [{"description": "a"}, {"description": "b"}]}, {"entries": []}, {"entries": [{"description": "c"}]}],
+            "characters": [{"character_seq_id": "1", "name": "Ada"}, {"character_seq_id": "1", "name": "Cyd"}, {"name": "none"}]}
+    stories = spark.createDataFrame([("g", json.dumps(told))], "game_pid string, story string")
+    shared = [(i, "m", "g", i, entry(character_seq_id="1" if i < 4 else "9")) for i in range(5)] + [(9, "m", "other", 1, entry())]
+    copied = [(i, "m", json.dumps({**told, "scenes": told["scenes"][:i]}), g) for i, _, game, i, g in shared if game == "g"] + [(9, "m", "{}", entry())]
+    shared = spark.createDataFrame(shared, "suggestion_id int, model_name string, game_pid string, position int, generated string")
+    copied = spark.createDataFrame(copied, "suggestion_id int, model_name string, story string, generated string")
+    for read in (C.context_flatten, C.context_reject_audit):
+        assert sorted(map(tuple, read(shared, stories).collect()), key=str) == sorted(map(tuple, read(copied).collect()), key=str)
+
+
+def test_story_exports_grow_with_the_turns(spark):
+    """One export a conversation, each turn in it once."""
+    size = {}
+    for n in (100, 400):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("x"), 100).alias("text"))
+        rows = story_exports(turns).collect()
+        assert len(rows) == 1 and len(json.loads(rows[0].story)["scenes"]) == n
+        size[n] = len(rows[0].story) + sum(len(r.generated) for r in judged_entries(turns).collect())
+    assert size[400] < 4.3 * size[100]
+
+
+def test_bodies(spark):
+    text = '{"game_pid": "g\u00e9"}'
+    rows = [(1, gzip.compress(text.encode()), "gzip"), (2, zlib.compress(text.encode()), "deflate"), (3, text.encode(), None), (4, b"junk", "gzip"), (5, None, "gzip"), (6, b"{", "")]
+    df = spark.createDataFrame(rows, "id int, body binary, encoding string")
+    got = {r.id: (r.raw, r.game) for r in decode_bodies(df).select("id", "raw", F.try_variant_get("story", "$.game_pid", "string").alias("game")).collect()}
+    assert got == {1: (text, "g\u00e9"), 2: (text, "g\u00e9"), 3: (text, "g\u00e9"), 4: (None, None), 5: (None, None), 6: ("{", None)}
+
+
+def test_null_keys_keep_any_sign(spark):
+    doc = json.dumps({"\ue000s": None, "a\ue000b": None, "\ue001": None, "t": "\ue000q"}, ensure_ascii=False)
+    got = spark.createDataFrame([(doc,)], "t string").select(C.null_keys(F.col("t")).alias("k")).first().k
+    assert sorted(got) == sorted(["\ue000s", "a\ue000b", "\ue001"])
+
+
 def test_null_keys(spark):
     doc = json.dumps({"a": None, "b": [{"c": None}, None], "d": 'say "e":null', "f\"g": None, "h\\": None, "i": {"j": {"k": {"l": None}}}})
     got = spark.createDataFrame([(doc,)], "t string").select(C.null_keys(F.col("t")).alias("k")).first().k
@@ -160,56 +224,10 @@ def test_sources(spark, tmp_path):
     with gzip.open(tmp_path / "s" / "a.json.gz", "wt") as f:
         f.write('{\n "game_pid": "g1",\n "scenes": []\n}')
     (tmp_path / "s" / "b.json").write_text('{"game_pid": "g2"}')
+    (tmp_path / "s" / "c.json.deflate").write_bytes(zlib.compress(b'{"game_pid": "g3"}'))
     rows = read_story_json(spark, str(tmp_path / "s"))
-    assert sorted(r[0] for r in rows.select(F.try_variant_get("story", "$.game_pid", "string")).collect()) == ["g1", "g2"]
+    assert sorted(r[0] for r in rows.select(F.try_variant_get("story", "$.game_pid", "string")).collect()) == ["g1", "g2", "g3"]
     (tmp_path / "w.txt").write_text(" i\ni \n\nthe\n")
     assert sorted(r.word for r in load_word_list(spark, str(tmp_path / "w.txt")).collect()) == ["i", "the"]
 
 
-@pytest.fixture(scope="module")
-def log_files(spark, data, tmp_path_factory):
-    """The events in four files, in order of time."""
-    folder = str(tmp_path_factory.mktemp("log"))
-    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts", "event_id")
-    rows = events.collect()
-    step = (len(rows) + 3) // 4
-    for i in range(4):
-        spark.createDataFrame(rows[i * step:(i + 1) * step], events.schema).coalesce(1).write.mode("append").parquet(folder)
-    return folder, events
-
-
-def test_first_wins_over_batches(spark, log_files, tmp_path):
-    folder, events = log_files
-    stream = J.read_log(spark, events.schema, folder).select("event_id", "ts", (F.col("event_id") % 600).alias("k"), "props")
-    target, state = str(tmp_path / "t"), str(tmp_path / "s")
-    J.first_wins(stream, ["k"], ["ts", "event_id"], target, state).awaitTermination()
-    stored = spark.read.parquet(target)
-    assert stored.select("batch_id").distinct().count() > 1
-    want = events.groupBy((F.col("event_id") % 600).alias("user_id")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    got = {(r.k, r.event_id) for r in stored.collect()}
-    assert got == {(r.user_id, r.event_id) for r in want.collect()}
-    # Nothing new: a second run adds nothing.
-    J.first_wins(stream, ["k"], ["ts", "event_id"], target, state).awaitTermination()
-    assert spark.read.parquet(target).count() == len(got)
-
-
-def test_running_reports_over_batches(spark, log_files, tmp_path):
-    folder, events = log_files
-    log = lambda df: df.select("event_id", "ts", F.col("user_id").alias("uuid"),
-                               F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("status"))
-    stream = J.read_log(spark, events.schema, folder)
-    J.status_latest(log(stream), str(tmp_path / "a"), str(tmp_path / "b")).awaitTermination()
-    got = J.current(spark, str(tmp_path / "a"), ["uuid"]).select("uuid", "status", "changes")
-    want = L.status_latest(log(events)).select("uuid", "status", "changes")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    J.monthly_counts(stream, str(tmp_path / "c"), str(tmp_path / "d"), key="user_id").awaitTermination()
-    counts = J.current(spark, str(tmp_path / "c"), ["user_id", "month"])
-    assert counts.agg(F.sum("suggestion_count")).first()[0] == events.count()
-
-
-def test_drop_repeats_within_delay(spark, log_files, tmp_path):
-    folder, events = log_files
-    stream = J.read_log(spark, events.schema, folder).select("ts", "props")
-    J.append(J.drop_repeats(stream, ["props"], "ts", "60 days"), str(tmp_path / "a"), str(tmp_path / "b")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "a"))
-    assert got.count() == events.select("props").distinct().count()

@@ -63,17 +63,44 @@ def test_reassign_equals_one_by_one(world):
     assert counts == {0: 3, 3: 3}
 
 
-def test_filling_stages_match_simulation(spark):
-    rng = random.Random(7)
-    loads = {i: rng.randint(0, 12) for i in range(6)}
-    totals = spark.createDataFrame([("t", i, n) for i, n in loads.items()], "type string, id int, story_count long")
-    stages = A._filling_stages(totals).collect()
-    for rank in range(60):
+@pytest.mark.parametrize(("n", "stories", "block"), [(6, 60, 4096), (6, 60, 2), (1, 7, 3), (9, 5, 4096), (4, 0, 4096)])
+def test_turns_match_simulation(spark, monkeypatch, n, stories, block):
+    monkeypatch.setattr(A, "BLOCK", block)
+    rng = random.Random(n)
+    loads = {i: rng.randint(0, 12) for i in rng.sample(range(50), n)}
+    totals = spark.createDataFrame([("t", i, k) for i, k in loads.items()] + [("idle", 99, 1)], "type string, id int, story_count long")
+    moved = spark.createDataFrame([("t",)] * stories + [("none",)] * 3, "type string")
+    got = {(r.type, r["rank"]): r.new_model_id for r in A._turns(totals, moved).collect()}
+    want = {}
+    for rank in range(stories):
         best = min(loads, key=lambda i: (loads[i], i))
         loads[best] += 1
-        hit = [s for s in stages if s.first <= rank and (s.end is None or rank < s.end)]
-        assert len(hit) == 1
-        assert hit[0].members[(rank - hit[0].first) % hit[0].width] == best
+        want["t", rank] = best
+    assert got == want
+
+
+def test_reassignment_gathers_nothing(spark, data):
+    from draftlens.sources.tables import Tables
+
+    t = Tables(spark, data)
+    plan = A.reassign_stories(t.model, t.assignment, t.suggestion)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_stored_tables(spark, tmp_path):
+    from draftlens.sources.stored import reconcile
+
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    model = make([(3, "m", None, "x")], "id long, name string, status string, note string")
+    assert reconcile(model, "model").first().asDict() == {"id": 3, "name": "m", "url": None, "type": "scene_entry", "status": "inactive", "quota": -1}
+    told = make([("h", 1, '{"game_pid": "g", "exported_at": "2024"}'), ("i", 2, None)], "hash string, id int, story string")
+    assert [tuple(r) for r in reconcile(told, "story").orderBy("id").collect()] == [(1, "h", "g", "2024", "pending"), (2, "i", None, None, "pending")]
+    with pytest.raises(ValueError, match="story_hash"):
+        reconcile(make([(1,)], "model_id int"), "assignment")
+    with pytest.raises(Exception, match="not one of"):
+        reconcile(make([("u", "speed", "1")], "suggestion_id string, type string, response string"), "feedback").collect()
+    with pytest.raises(Exception, match="CAST"):
+        reconcile(make([("x", "m")], "id string, name string"), "model").collect()
 
 
 def test_rank_by_hash_and_top_per_group(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from draftlens.functions import kernels as N
 from draftlens.operators import scoring as G
 from draftlens.operators import statistics as T
+from draftlens.operators import store as S
+from draftlens.operators.joins import packed
 
 METRICS = ("user", "rouge-l", "rouge-w", "rouge-1", "rouge-2", "rouge-3", "rouge-4")
 
@@ -88,12 +90,14 @@ def test_edit_ops():
     assert N.edit_ops("", "")[:3] == (0, 0, 0)
 
 
-def test_long_texts_use_the_popularity_rule():
+@pytest.mark.parametrize("skip", [False, True])
+def test_long_and_short_texts_are_matched_alike(skip):
+    """No rule for popular tokens of long texts, unless it is asked for."""
     rng = random.Random(6)
     h = " ".join(rng.choice("pq") + str(rng.randint(0, 9)) for _ in range(260))
     r = " ".join(rng.choice("pq") + str(rng.randint(0, 9)) for _ in range(260))
-    want = sum(b - a for tag, a, b, *_ in SequenceMatcher(None, h.split(), r.split()).get_opcodes() if tag == "equal")
-    assert N.edit_ops(h, r)[2] == want
+    want = sum(b - a for tag, a, b, *_ in SequenceMatcher(None, h.split(), r.split(), autojunk=skip).get_opcodes() if tag == "equal")
+    assert N.edit_ops(h, r, skip)[2] == want
 
 
 def test_p_values():
@@ -167,3 +171,48 @@ def test_matches_stay_one_task_free_of_repeats(spark):
     df = spark.createDataFrame([("s", text, text)], "suggestion_id string, generated string, finalized string")
     got = T.sentence_match(df)
     assert got.count() == 2000 and got.where("published <> generated").count() == 0
+
+
+def test_packed_tasks_cost_alike(spark):
+    """On a skewed table the longest task is within twice the median, but for one costly row."""
+    rng = random.Random(4)
+    rows = [(i, int(rng.paretovariate(0.9) * 100)) for i in range(4000)]
+    total = sum(n for _, n in rows)
+    rows = [(i, min(n, total // 64)) for i, n in rows]
+    df = spark.createDataFrame(rows, "id long, n long")
+    out = packed(df, F.col("n").cast("double"), F.col("n"), "id", task_bytes=1 << 40)
+    sums = [r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.sum("n")).collect()]
+    assert out.count() == len(rows) and sorted(map(tuple, out.collect())) == rows
+    assert max(sums) <= 2 * np.median(sums) + max(n for _, n in rows)
+    by_bytes = packed(df, F.col("n").cast("double"), F.col("n"), "id", task_bytes=total // 200)
+    assert by_bytes.rdd.getNumPartitions() >= 100
+    assert packed(df.limit(0), F.col("n").cast("double"), F.col("n"), "id").count() == 0
+
+
+def test_correlations_unfold_no_row(spark):
+    """One aggregate over the rows: nothing is exploded before it."""
+    table = spark.createDataFrame([("a", 1.0, 2.0, None), ("a", 2.0, 1.0, 3.0), ("b", 3.0, 5.0, 4.0)], "model_name string, relevance double, fluency double, rouge_1 double")
+    matrix = T.correlations(table, ("relevance", "fluency", "rouge-1"))
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
+    got = {(r.metric1, r.metric2): (r.n, r.r) for r in matrix.collect()}
+    assert got["relevance", "fluency"] == (3, pytest.approx(np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1]))
+    assert got["fluency", "rouge-1"] == (2, pytest.approx(1.0))
+
+
+def test_p_of_many_pairs():
+    """For large n the t distribution is normal; no digits are lost there."""
+    from math import erfc, sqrt
+
+    for n, r in ((10**7, 5e-4), (10**9, 5e-5), (10**12, 2e-6)):
+        t = r * sqrt((n - 2) / (1 - r * r))
+        assert N.pearson_p(np.array([r]), np.array([n]))[0] == pytest.approx(erfc(t / sqrt(2)), rel=1e-4)
+
+
+def test_increments_store_each_score_once(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = lambda *ids: spark.createDataFrame([(i, 0.5) for i in ids], "suggestion_id string, user_p double")
+    assert S.stored_increments(spark, path) is None
+    for name, ids in (("a", "xy"), ("b", "yz"), ("b", "yz"), ("a", "xy")):
+        S.write_increment(rows(*ids), path, name)
+    assert sorted(r.suggestion_id for r in S.stored_increments(spark, path).collect()) == ["x", "y", "z"]
