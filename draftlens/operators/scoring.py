@@ -125,7 +125,7 @@ def score_edits(pairs: DataFrame, metrics=AUTO_METRICS) -> DataFrame:
                        *[c.alias(name) for name, c in kernels.items()])
     hn, rn = F.col("hn"), F.col("rn")
     back = lambda total: F.when(
-        total > 0, F.pow(F.col("wlcs") / F.pow(total.cast("double"), F.lit(WLCS_POWER)), F.lit(1.0 / WLCS_POWER))
+        total > 0, F.least(F.lit(1.0), F.pow(F.col("wlcs") / F.pow(total.cast("double"), F.lit(WLCS_POWER)), F.lit(1.0 / WLCS_POWER)))
     ).otherwise(F.lit(0.0))
     out = []
     for metric in metrics:

@@ -6,6 +6,7 @@ from functools import reduce
 from itertools import combinations
 from operator import and_
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from draftlens.operators import reports as R
@@ -70,6 +71,49 @@ def _(t):
     return rounded(G.rouge_w(G.edit_pairs(t.suggestion)))
 
 
+def turn_pairs(t):
+    """Each turn of a conversation beside the one before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.raw("conversations").select("conv_id", "turn", F.col("text").alias("finalized"), before.alias("generated")).where("generated IS NOT NULL")
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return rows.select(F.xxhash64("conv_id", "turn").alias("id"), name.alias("suggestion_id"), "generated", "finalized")
+
+
+# The textbook table, a row for each token of h, as a fold over lists.
+TURNS = f"""
+t AS (SELECT concat(conv_id, ':', turn) AS suggestion_id, text AS finalized, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS generated FROM conversations),
+w AS (SELECT suggestion_id, {sql_content_tokens('generated')} AS h, {sql_content_tokens('finalized')} AS r FROM t WHERE generated IS NOT NULL)
+"""
+LCS_FOLD = """list_reduce(h, lambda L, x: list_reduce(range(1, len(r) + 1), lambda acc, j:
+    list_append(acc, greatest(acc[j], L[j + 1], L[j] + CASE WHEN r[j] = x THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)]),
+  list_transform(range(0, len(r) + 1), lambda x: CAST(0 AS BIGINT)))[len(r) + 1]"""
+CELL = "{'c': CAST(0 AS DOUBLE), 'k': CAST(0 AS BIGINT)}"
+WLCS_FOLD = f"""list_reduce(h, lambda L, x: list_reduce(range(1, len(r) + 1), lambda acc, j:
+    list_append(acc, CASE WHEN r[j] = x THEN {{'c': L[j].c + pow(L[j].k + 1, 1.2) - pow(L[j].k, 1.2), 'k': L[j].k + 1}}
+      ELSE {{'c': greatest(acc[j].c, L[j + 1].c), 'k': CAST(0 AS BIGINT)}} END), [{CELL}]),
+  list_transform(range(0, len(r) + 1), lambda x: {CELL}))[len(r) + 1].c"""
+
+
+def sql_turns(name: str, fold: str, share: str) -> str:
+    """Precision, recall and F1 of a fold; ``share`` relates it to a total."""
+    of = lambda total: f"CASE WHEN {total} > 0 THEN {share.format(total)} ELSE 0.0 END"
+    return f"""
+WITH {TURNS}, s AS (SELECT suggestion_id, len(h) AS hn, len(r) AS rn, CASE WHEN len(h) > 0 AND len(r) > 0 THEN {fold} ELSE 0 END AS m FROM w),
+p AS (SELECT suggestion_id, {of('hn')} AS p, {of('rn')} AS r FROM s)
+SELECT suggestion_id, round(p, 6) AS {name}_p, round(r, 6) AS {name}_r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS {name}_f FROM p
+"""
+
+
+@query("rouge_l_turns", sql_turns("rouge_l", LCS_FOLD, "m / {0}"))
+def _(t):
+    return rounded(G.rouge_l(turn_pairs(t)))
+
+
+@query("rouge_w_turns", sql_turns("rouge_w", WLCS_FOLD, "least(1.0, pow(m / pow({0}, 1.2), 1 / 1.2))"))
+def _(t):
+    return rounded(G.rouge_w(turn_pairs(t)))
+
+
 @query("user_score")
 def _(t):
     return rounded(G.user_score(G.edit_pairs(t.suggestion)))
@@ -184,13 +228,13 @@ def _(t):
     return board(t, ngram_scores(t), NGRAM)
 
 
-def _corr_sql(metrics, by: str) -> str:
+def _corr_sql(metrics, by: str, digits: int = 6) -> str:
     """Textbook form, written out pair by pair."""
     cols = [m.replace("-", "_") for m in metrics]
     head = f"{by}, " if by else ""
     one = lambda i, j: (
         f"SELECT {head}'{metrics[i]}' AS metric1, '{metrics[j]}' AS metric2, count(*) AS n, "
-        f"CASE WHEN count(*) >= 2 THEN round(covar_pop({cols[i]}, {cols[j]}) / nullif(sqrt(var_pop({cols[i]}) * var_pop({cols[j]})), 0), 6) END AS q, "
+        f"CASE WHEN count(*) >= 2 THEN round(covar_pop({cols[i]}, {cols[j]}) / nullif(sqrt(var_pop({cols[i]}) * var_pop({cols[j]})), 0), {digits}) END AS q, "
         f"CASE WHEN abs(q) = 0 THEN 0.0 ELSE q END AS r "
         f"FROM mt WHERE {cols[i]} IS NOT NULL AND {cols[j]} IS NOT NULL" + (f" GROUP BY {by}" if by else " HAVING count(*) > 0"))
     # A negative zero counts as zero on both sides.
@@ -198,9 +242,13 @@ def _corr_sql(metrics, by: str) -> str:
     return f"SELECT {head}metric1, metric2, n, r FROM ({rows})"
 
 
-def shown(matrix):
+def shown_r():
     r = F.round("r", 6)
-    return matrix.drop("p").withColumn("r", F.when(r == 0, F.lit(0.0)).otherwise(r))
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
+def shown(matrix):
+    return matrix.drop("p").withColumn("r", shown_r())
 
 
 CHECKED = RATED + NGRAM
@@ -216,9 +264,25 @@ def _(t):
     return T.correlations(table(t, all_scores(t)), by_model=True)
 
 
-@query("correlations_ngram", f"WITH {METRICS} {_corr_sql(CHECKED, '')}", CORE + " feedback")
+# The two-sided p is the share of (1 - s * s) ** (n / 2 - 2) beyond |r|: Simpson's rule over 4,000 steps.
+P_SQL = f"""
+m AS ({_corr_sql(CHECKED, '', 15)}),
+f AS (SELECT m.*, 2 * exp(lgamma(n / 2.0 - 0.5) - lgamma(n / 2.0 - 1) - lgamma(0.5)) * (1 - abs(r)) / 12000 AS unit FROM m),
+c AS (SELECT metric1, metric2, n, round(r, 6) AS r, round(sum(unit * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * pow(1 - pow(abs(r) + (1 - abs(r)) * i / 4000, 2), n / 2.0 - 2)), 6) AS p FROM f, (SELECT unnest(range(0, 4001)) AS i) GROUP BY ALL)
+"""
+
+
+@query("correlations_ngram", f"WITH {METRICS}, {P_SQL} SELECT * FROM c", CORE + " feedback")
 def _(t):
-    return shown(T.correlations(table(t, ngram_scores(t)), CHECKED))
+    matrix = T.correlations(table(t, ngram_scores(t)), CHECKED)
+    p = F.round("p", 6)
+    return matrix.select("metric1", "metric2", "n", shown_r().alias("r"), F.when(p == 0, F.lit(0.0)).otherwise(p).alias("p"))
+
+
+@query("correlation_flags_ngram", f"WITH {METRICS}, {P_SQL} SELECT metric1, metric2, n, p < 0.05 AS p05, p < 0.01 AS p01 FROM c", CORE + " feedback")
+def _(t):
+    return T.correlation_flags(T.correlations(table(t, ngram_scores(t)), CHECKED)).select("metric1", "metric2", "n", "p05", "p01")
 
 
 @query("correlations_by_model_ngram", f"WITH {METRICS} {_corr_sql(CHECKED, 'model_name')}", CORE + " feedback")
@@ -295,6 +359,36 @@ def _(t):
     return T.edit_rank(edits(t))
 
 
+EDITS = ", ".join(f"round(100 * rouge.{c}, 4) AS {c}" for c in ROUGE_COLS)
+EDIT_ROWS = f"""
+e AS (SELECT s.uuid AS suggestion_id, m.name AS model_name, st.game_pid, {', '.join(f'a.{x}' for x in R.FEEDBACK_TYPES)}, {EDITS}
+  {FROM_DONE} JOIN rouge ON rouge.uuid = s.uuid
+  LEFT JOIN (SELECT suggestion_id, {', '.join(f"max(response) FILTER (WHERE type = '{x}') AS {x}" for x in R.FEEDBACK_TYPES)} FROM feedback GROUP BY suggestion_id) a
+    ON a.suggestion_id = s.uuid {WHERE_DONE})
+"""
+
+
+def ngram_edits(t):
+    rows = T.edit_row(R.finalized_keys(*core(t)), R.feedback_wide(t.feedback), ngram_scores(t))
+    return rows.select(*[F.round(c, 4).alias(c) if c in ROUGE_COLS else c for c in rows.columns])
+
+
+@query("edit_row_ngram", f"WITH {ROUGE}, {EDIT_ROWS} SELECT * FROM e", CORE + " feedback")
+def _(t):
+    return ngram_edits(t)
+
+
+@query("edit_rank_ngram", f"WITH {ROUGE}, {EDIT_ROWS} SELECT suggestion_id, model_name, rouge_4_f AS rouge_4, rouge_1_f AS rouge_1 FROM e WHERE model_name = 'src3'", CORE + " feedback")
+def _(t):
+    """The edit table of one model, by F1."""
+    return T.edit_rank(ngram_edits(t), "src3", ("rouge-4", "rouge-1"), "f", "rouge-1")
+
+
+@query("sentence_histogram_model", HISTOGRAM + "SELECT * FROM hist WHERE model_name = 'src3'", CORE)
+def _(t):
+    return T.sentence_histogram(matches(t), models_of(t), "src3")
+
+
 @query("sink_metrics_increment", f"""
 WITH {ROUGE} SELECT uuid AS suggestion_id, {ROUNDED}, true AS others FROM rouge
 """, "suggestion")

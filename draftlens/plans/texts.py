@@ -61,7 +61,7 @@ def sql_cut_last(text: str, piece: str) -> str:
 
 
 def documents(t):
-    return t.raw("documents").select("doc_id", "text")
+    return t.spread(t.raw("documents").select("doc_id", "text"))
 
 
 def suggestions(t):

@@ -21,8 +21,15 @@ class Tables:
 
     RAW = ("documents", "benchmark", "labels", "pages", "conversations", "events")
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, spread: int | None = None):
+        """``spread`` deals texts to so many tasks before columns that are bound by CPU.
+
+        Off by default, since it moves the texts once; worth it for files of few row
+        groups, which no scan can split. Taken from the session setting
+        ``draftlens.spread`` where it is not given.
+        """
         self.spark = tune(spark)
+        self.parts = spread or int(spark.conf.get("draftlens.spread", "0"))
         self.path = path.rstrip("/")
         self._raw: dict[str, DataFrame] = {}
 
@@ -31,6 +38,9 @@ class Tables:
             self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._raw[name]
 
+    def spread(self, texts: DataFrame) -> DataFrame:
+        return texts.repartition(self.parts) if self.parts else texts
+
     def _derived(self, name: str) -> DataFrame:
         """The stored table if the folder has one (logs are always derived), else the derived one."""
         path = f"{self.path}/{name}.parquet"
