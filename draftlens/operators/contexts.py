@@ -190,9 +190,9 @@ def _values(v: Column, rule, path: Column) -> Column:
         parts, row = [], []
         for field, inner in [*rule.items(), ("", None)]:
             if inner is not None:
-                row.append(F.struct(F.lit(field.rstrip("!?")).alias("name"), F.lit(_kind_of(inner)).alias("leaf"), F.lit(field.endswith("!")).alias("needed"), F.lit(field.endswith("?")).alias("kept")))
+                row.append(f"named_struct('name', '{field.rstrip('!?')}', 'leaf', '{_kind_of(inner)}', 'needed', {field.endswith('!')}, 'kept', {field.endswith('?')})")
             if row and (inner is None or inner not in LEAVES if isinstance(inner, str) else True):
-                parts.append(F.transform(F.array(*row), part))  # fields in a row share one expression
+                parts.append(F.transform(F.expr(f"array({', '.join(row)})"), part))  # fields in a row share one expression
                 row = []
                 if inner is not None:
                     name = field.rstrip("!?")

@@ -90,21 +90,21 @@ def public_edits(model, assignment, suggestion, story, feedback, limit: int | No
                  **kwargs) -> DataFrame:
     """The first edits as the public sees them; ``limit=None`` shows all.
 
-    The cut is made on keys, so texts are fetched for the chosen rows only.
+    The cut is made on keys, in a job of its own, so only the chosen texts are read on.
     """
     if limit is None:
         return finalized_suggestions(model, assignment, suggestion, story, feedback, **kwargs)
-    keys = finalized_keys(model, assignment, suggestion, story, **kwargs)
-    chosen = keys.select("uuid", "model_name", "game_pid", "created_at").orderBy(
-        "created_at", "uuid", "model_name").limit(limit)
-    wanted = suggestion.join(chosen, ["uuid", "created_at"])
-    ratings = feedback_wide(feedback.join(chosen.select("uuid").distinct(),
-                                          F.col("suggestion_id") == F.col("uuid"), "left_semi"))
+    names = ["id", "uuid", "model_name", "game_pid", "created_at"]
+    keys = finalized_keys(model, assignment, suggestion, story, **kwargs).select(*names)
+    # ``limit`` narrow rows; as values, they reach the scans of texts and ratings as filters.
+    first = keys.orderBy("created_at", "uuid", "model_name").limit(limit).collect()
+    chosen = suggestion.sparkSession.createDataFrame(first, keys.schema)
+    texts = suggestion.where(F.col("id").isin([r["id"] for r in first])).select(
+        "id", F.col("generated").alias("generated_text"), F.col("finalized").alias("user_text"))
+    ratings = feedback_wide(feedback.where(F.col("suggestion_id").isin([r["uuid"] for r in first])))
     return (
-        wanted.join(ratings.withColumnRenamed("suggestion_id", "uuid"), "uuid", "left")
-        .select("model_name", "game_pid", F.col("generated").alias("generated_text"),
-                F.col("finalized").alias("user_text"), F.col("uuid").alias("suggestion_id"),
-                *FEEDBACK_TYPES, "created_at")
+        chosen.join(texts, "id").withColumnRenamed("uuid", "suggestion_id").join(ratings, "suggestion_id", "left")
+        .select("model_name", "game_pid", "generated_text", "user_text", "suggestion_id", *FEEDBACK_TYPES, "created_at")
         .orderBy("created_at", "suggestion_id", "model_name")
     )
 

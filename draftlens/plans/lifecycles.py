@@ -119,8 +119,12 @@ SLICES, BUCKETS = 4, 4
 
 
 def scattered(key: str):
-    """Files that have nothing to do with time, and the same in SQL."""
-    return F.pmod(F.col(key) * 7 + F.floor(F.col(key) / 10), F.lit(SLICES)), f"(({key} * 7 + {key} // 10) % {SLICES})"
+    """Files that have nothing to do with time."""
+    return F.pmod(F.col(key) * 7 + F.floor(F.col(key) / 10), F.lit(SLICES))
+
+
+def sql_scattered(key: str) -> str:
+    return f"(({key} * 7 + {key} // 10) % {SLICES})"
 
 
 def staged(t, rows, label: str, part, closing=None):
@@ -147,20 +151,20 @@ def places(t, label):
 @query("stream_story_dedup", DEDUP, "upload_log")
 def _(t):
     target, state = places(t, "dedup")
-    J.story_dedup(staged(t, t.upload_log, "uploads", scattered("upload_id")[0]), target, state, BUCKETS).awaitTermination()
+    J.story_dedup(staged(t, t.upload_log, "uploads", scattered("upload_id")), target, state, BUCKETS).awaitTermination()
     rows = J.current(t.spark, target, ["hash"], J.UPLOADS)
     return rows.withColumn("status", F.when(F.col("accepted_upload").isNull(), "failed").otherwise("ready"))
 
 
 @query("stream_first_upload", f"""
-WITH r AS (SELECT *, {scattered("upload_id")[1].replace("upload_id", "abs(upload_id)")} AS part FROM upload_log)
+WITH r AS (SELECT *, {sql_scattered("upload_id")} AS part FROM upload_log)
 SELECT upload_id, hash, CASE WHEN failed THEN 'failed'
   WHEN row_number() OVER (PARTITION BY hash, failed ORDER BY part, upload_id) = 1 THEN 'accepted' ELSE 'repeat' END AS outcome FROM r
 """, "upload_log")
 def _(t):
     """What became of each upload as it came; a failed one leaves its content open."""
     target, state = places(t, "first-upload")
-    uploads = staged(t, t.upload_log, "uploads", scattered("upload_id")[0])
+    uploads = staged(t, t.upload_log, "uploads", scattered("upload_id"))
     J.first_wins(uploads, ["hash"], ["upload_id"], target, state, ok=~F.col("failed"), buckets=BUCKETS).awaitTermination()
     return J.outcomes(t.spark, target).select("upload_id", "hash", "outcome")
 
@@ -169,7 +173,7 @@ HALF = timedelta(days=15)
 
 
 @query("stream_drop_repeats", f"""
-WITH r AS (SELECT event_id, ts, md5(props) AS hash, {scattered("event_id")[1]} AS part FROM events),
+WITH r AS (SELECT event_id, ts, md5(props) AS hash, {sql_scattered("event_id")} AS part FROM events),
 m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {HALF.days} DAY AS mark FROM r GROUP BY part),
 l AS (SELECT r.*, coalesce(ts < mark, false) AS late FROM r JOIN m USING (part))
 SELECT hash, count(*) FILTER (late) AS late, CAST(bool_or(NOT late) AS BIGINT) AS accepted,
@@ -179,7 +183,7 @@ def _(t):
     """Files out of order, so that rows come late: none is lost."""
     target, state = places(t, "repeats")
     rows = t.raw("events").select("event_id", "ts", F.md5("props").alias("hash"))
-    events = staged(t, rows, "repeat-log", scattered("event_id")[0])
+    events = staged(t, rows, "repeat-log", scattered("event_id"))
     J.drop_repeats(events, ["hash"], "ts", target, state, delay=HALF, buckets=BUCKETS).awaitTermination()
     of = lambda kind: F.count_if(F.col("outcome") == kind)
     return J.outcomes(t.spark, target).groupBy("hash").agg(of("late").alias("late"), of("accepted").alias("accepted"), of("repeat").alias("repeats"))
@@ -212,14 +216,14 @@ def _(t):
 
 @query("stream_finalize_once", f"""
 SELECT e.event_id, e.uuid, e.entry, CASE WHEN s.uuid IS NULL THEN 'unknown suggestion'
-  WHEN row_number() OVER (PARTITION BY e.uuid ORDER BY {scattered("event_id")[1].replace("event_id", "e.event_id")}, e.ts, e.event_id) = 1 THEN 'finalized' ELSE 'finalized twice' END AS outcome
+  WHEN row_number() OVER (PARTITION BY e.uuid ORDER BY {sql_scattered("e.event_id")}, e.ts, e.event_id) = 1 THEN 'finalized' ELSE 'finalized twice' END AS outcome
 FROM finalize_log e LEFT JOIN suggestion s ON s.uuid = e.uuid
 """, "finalize_log suggestion")
 def _(t):
     """In order of arrival; unknown suggestions and second finalizations keep their row."""
     target, state = places(t, "final")
     known = t.suggestion.select("uuid", F.lit(True).alias("known"))
-    log = staged(t, t.finalize_log, "finalizations", scattered("event_id")[0]).join(known, "uuid", "left")
+    log = staged(t, t.finalize_log, "finalizations", scattered("event_id")).join(known, "uuid", "left")
     J.first_wins(log, ["uuid"], ["ts", "event_id"], target, state, ok=F.col("known"), buckets=BUCKETS).awaitTermination()
     name = F.when(F.col("outcome") == "accepted", "finalized").when(F.col("outcome") == "failed", "unknown suggestion").otherwise("finalized twice")
     return J.outcomes(t.spark, target).select("event_id", "uuid", "entry", name.alias("outcome"))
@@ -228,7 +232,7 @@ def _(t):
 @query("stream_status_latest", LATEST, "status_log")
 def _(t):
     target, state = places(t, "status")
-    J.status_latest(staged(t, t.status_log, "changes", scattered("event_id")[0]), target, state, buckets=BUCKETS).awaitTermination()
+    J.status_latest(staged(t, t.status_log, "changes", scattered("event_id")), target, state, buckets=BUCKETS).awaitTermination()
     return J.current(t.spark, target, ["uuid"], J.STATUS).select("uuid", "status", iso_text(F.col("ts")).alias("ts"), "changes")
 
 
@@ -253,7 +257,7 @@ def _(t):
     target, state = places(t, "exports")
     log = t.raw("events").select("event_id", F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_pid"),
                                  F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"))
-    J.latest_export(staged(t, log, "export-log", scattered("event_id")[0]), target, state, BUCKETS).awaitTermination()
+    J.latest_export(staged(t, log, "export-log", scattered("event_id")), target, state, BUCKETS).awaitTermination()
     return J.current(t.spark, target, ["game_pid"], J.EXPORTS).withColumn("latest", iso_text(F.col("latest")))
 
 

@@ -276,6 +276,15 @@ def _(t):
     return R.registry_query(t.model, status="active", type="scene_entry")
 
 
+def stored(t, rows, name):
+    """A new version of a table, as its readers will find it."""
+    from draftlens.session import scratch_path
+
+    path = scratch_path(t.spark, name)
+    rows.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query("registry_add_update", """
 SELECT id, name, url, type, CASE WHEN id >= 10 THEN 'active' ELSE status END AS status, quota FROM model
 UNION ALL SELECT id + 10, concat('new', CAST(id + 10 AS STRING)), NULL, 'scene_entry', 'active', -1 FROM model WHERE id >= 10
@@ -284,7 +293,7 @@ def _(t):
     ids = t.model.select((F.col("id") + 10).alias("id"))
     changes = ids.select("id", F.lit("active").alias("status"),
                          F.when(F.col("id") >= 20, F.concat(F.lit("new"), F.col("id").cast("string"))).alias("name"))
-    return S.upsert(t.model, changes, defaults=S.MODEL_DEFAULTS)
+    return stored(t, S.upsert(t.model, changes, defaults=S.MODEL_DEFAULTS), "model")
 
 
 @query("sink_upsert_append", """
@@ -304,7 +313,8 @@ def _(t):
 
 @query("sink_delete", "SELECT id, uuid, status FROM suggestion WHERE NOT (status = 'failed' AND type = 'scene_entry')", "suggestion")
 def _(t):
-    return S.delete(t.suggestion, {"status": "failed", "type": "scene_entry"}).select("id", "uuid", "status")
+    """The table without the deleted rows, written and read back."""
+    return stored(t, S.delete(t.suggestion, {"status": "failed", "type": "scene_entry"}), "suggestion").select("id", "uuid", "status")
 
 
 @query("scan_all", "SELECT id, uuid FROM suggestion WHERE status = 'done' AND user_pid IS NULL", "suggestion")

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -38,6 +40,12 @@ def _rows(df):
     return list(df.columns), sorted(tuple(map(_cell, r)) for r in df.itertuples(index=False, name=None))
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
