@@ -73,6 +73,8 @@ def rank_by_hash(df: DataFrame, group: str, hash_col: str, digits: int = 3) -> D
 #: Bytes of texts in a task, tasks for each shuffle partition, and rows below which a
 #: task's share of a cost class is dealt by rank instead of by hash.
 TASK_BYTES, TASKS, FEW = 32 << 20, 4, 8
+#: Rows that are ranked and broadcast at most (16 bytes each); beyond, hashes deal them.
+MOST_RANKED = 500_000
 
 
 def packed(df: DataFrame, cost: Column, size: Column, key: str, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -99,10 +101,11 @@ def packed(df: DataFrame, cost: Column, size: Column, key: str, task_bytes: int
             ranked.append(r["_class"])
         first += n
     place = F.pmod(F.xxhash64(key), share)
-    if ranked:  # at most FEW rows for each task, ranked by narrow keys
+    # Narrow keys of known number, at most FEW for each task, so they may be broadcast.
+    if 0 < sum(r["n"] for r in facts if r["_class"] in ranked) <= MOST_RANKED:
         few = rows.where(F.col("_class").isin(*ranked)).select(key, "_class")
         few = few.withColumn("_nth", F.row_number().over(Window.partitionBy("_class").orderBy(key))).select(key, "_nth")
-        rows = rows.join(few.dropDuplicates([key]), key, "left")
+        rows = rows.join(F.broadcast(few.dropDuplicates([key])), key, "left")
         place = F.when(F.col("_nth").isNotNull(), F.col("_nth") % share).otherwise(place)
     spread = rows.withColumn("_task", (begin + place).cast("int"))
     return spread.repartitionById(max(1, first), "_task").select(*df.columns)

@@ -37,14 +37,14 @@ def edit_pairs(suggestion: DataFrame, stored: DataFrame | None = None) -> DataFr
 
     Suggestions with stored scores are left out before any text moves. This one
     exchange carries each text once. The kernels cost the product of both lengths,
-    so pairs are packed by it; texts are read twice, once for their lengths.
+    so pairs are packed by an estimate of it: the square of the generated text's
+    length, which needs no published text. That column is read once more for it.
     """
     done = suggestion.where("is_finalized").select("id", F.col("uuid").alias("suggestion_id"), "generated", "finalized")
     if stored is not None:
         done = done.join(stored.select("suggestion_id"), "suggestion_id", "left_anti")
-    length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("double") + 1
-    both = lambda: F.coalesce(F.octet_length("generated"), F.lit(0)) + F.coalesce(F.octet_length("finalized"), F.lit(0))
-    return packed(done, length("generated") * length("finalized"), both(), "id")
+    length = F.coalesce(F.length("generated"), F.lit(0)).cast("double") + 1
+    return packed(done, length * length, 2 * F.coalesce(F.octet_length("generated"), F.lit(0)), "id")
 
 
 def _content(pairs: DataFrame, *keep: str) -> DataFrame:

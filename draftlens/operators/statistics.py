@@ -59,21 +59,24 @@ def ratings_rank(board: DataFrame, type: str) -> DataFrame:
 def correlations(table: DataFrame, metrics=CORRELATED, by_model: bool = False) -> DataFrame:
     """Pearson r and two-sided p of every pair of metrics.
 
-    One aggregate holds the co-moments of all pairs over their complete rows: counts,
-    covariances and variances that Spark merges from task to task as central
-    moments. No row is multiplied; only the result, one row for each model, is
-    unfolded into pairs. r is NULL for fewer than two rows or a constant column.
+    A row gives one row for each metric, beside all later ones, not one for each pair;
+    one aggregate holds their co-moments over complete rows: counts, covariances and
+    variances, which Spark merges from task to task as central moments. (One row for
+    all 55 pairs needs 220 aggregates, whose code takes longer to compile than the
+    whole job on small tables.) r is NULL for fewer than two rows or a constant column.
     """
-    by = ["model_name"] if by_model else []
-    pairs = [(a, b, F.col(column_of(a)), F.col(column_of(b))) for a, b in combinations(metrics, 2)]
+    by, cols = ["model_name"] if by_model else [], [column_of(m) for m in metrics]
+    later = range(1, len(cols))
+    # As SQL: hundreds of column calls would cost more than the job.
+    rows = [f"named_struct('i', {i}, 'x', {cols[i]}, " + ", ".join(f"'y{j}', {cols[j] if j > i else 'CAST(NULL AS DOUBLE)'}" for j in later) + ")" for i in range(len(cols) - 1)]
     sums = []
-    for k, (_, _, x, y) in enumerate(pairs):
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        sums += [F.count(x).alias(f"n{k}"), F.covar_pop(x, y).alias(f"c{k}"), F.var_pop(x).alias(f"x{k}"), F.var_pop(y).alias(f"y{k}")]
-    moments = table.groupBy(*by).agg(*sums)
-    of = lambda k, a, b: F.struct(F.lit(a).alias("metric1"), F.lit(b).alias("metric2"), F.col(f"n{k}").alias("n"),
-                                  F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"x{k}") * F.col(f"y{k}"))).alias("q"))
-    long = moments.select(*by, F.inline(F.array(*[of(k, a, b) for k, (a, b, _, _) in enumerate(pairs)]))).where("n > 0")
+    for j in later:
+        x, y = f"CASE WHEN y{j} IS NOT NULL THEN x END", f"CASE WHEN x IS NOT NULL THEN y{j} END"
+        sums += [f"count({x}) AS n{j}", f"covar_pop({x}, {y}) AS c{j}", f"var_pop({x}) AS u{j}", f"var_pop({y}) AS v{j}"]
+    moments = table.select(*by, F.expr(f"inline(array({', '.join(rows)}))")).groupBy(*by, "i").agg(*map(F.expr, sums))
+    names = "array(" + ", ".join(f"'{m}'" for m in metrics) + ")"
+    pairs = ", ".join(f"named_struct('metric1', get({names}, i), 'metric2', '{metrics[j]}', 'n', n{j}, 'q', try_divide(c{j}, sqrt(u{j} * v{j})))" for j in later)
+    long = moments.select(*by, F.expr(f"inline(array({pairs}))")).where("n > 0")
     # greatest and least skip NULL, so an undefined r is kept out of them.
     r = F.when((F.col("n") >= 2) & F.col("q").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("q"))))
     return long.select(*by, "metric1", "metric2", "n", r.alias("r")).withColumn("p", pearson_p_value(F.col("r"), F.col("n")))

@@ -189,12 +189,11 @@ def test_packed_tasks_cost_alike(spark):
     assert packed(df.limit(0), F.col("n").cast("double"), F.col("n"), "id").count() == 0
 
 
-def test_correlations_unfold_no_row(spark):
-    """One aggregate over the rows: nothing is exploded before it."""
+def test_correlations_of_pairs(spark):
+    """Pairwise complete rows, by one aggregate; a row for each metric, not for each pair."""
     table = spark.createDataFrame([("a", 1.0, 2.0, None), ("a", 2.0, 1.0, 3.0), ("b", 3.0, 5.0, 4.0)], "model_name string, relevance double, fluency double, rouge_1 double")
     matrix = T.correlations(table, ("relevance", "fluency", "rouge-1"))
-    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
+    assert matrix._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     got = {(r.metric1, r.metric2): (r.n, r.r) for r in matrix.collect()}
     assert got["relevance", "fluency"] == (3, pytest.approx(np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1]))
     assert got["fluency", "rouge-1"] == (2, pytest.approx(1.0))
