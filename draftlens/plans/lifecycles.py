@@ -11,6 +11,7 @@ from draftlens.operators import lifecycle as L
 from draftlens.plans.registry import query, sql_list
 from draftlens.plans.relational import DEDUP, DELETED
 from draftlens.session import scratch_path
+from draftlens.sources import files
 from draftlens.streaming import jobs as J
 from draftlens.streaming import rules as S
 
@@ -112,10 +113,12 @@ def _(t):
 
 
 # --- streams --------------------------------------------------------------
-# Each lays a log out as several files, streams over the files at hand
-# (availableNow), one in a micro-batch, and returns what it wrote.
+# Each lays a log out in several slices, written by many tasks; as each has come, the
+# job runs over the files at hand (availableNow), a slice in a micro-batch. Each
+# query returns what its job wrote.
 
 SLICES, BUCKETS = 4, 4
+KEY_BUCKETS = 12  # for tables of a key for nearly every row
 
 
 def scattered(key: str):
@@ -127,14 +130,21 @@ def sql_scattered(key: str) -> str:
     return f"(({key} * 7 + {key} // 10) % {SLICES})"
 
 
-def staged(t, rows, label: str, part, closing=None):
-    """A log as a stream over files, written one after another; ``closing`` ends the last one."""
-    folder = scratch_path(t.spark, label)
+def arriving(t, rows, label: str, part, start, closing=None):
+    """Run ``start(stream)`` as each slice of a log comes; ``closing`` ends the log.
+
+    The rows are made once, dealt to folders by slice; no task gets a whole slice.
+    """
+    folder, dealt = scratch_path(t.spark, label), scratch_path(t.spark, label + "-slices")
+    rows.withColumn("slice", part).write.partitionBy("slice").parquet(dealt)
+    come = lambda: start(J.read_log(t.spark, rows.schema, folder, None)).awaitTermination()
     for k in range(SLICES):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+        if files.exists(t.spark, f"{dealt}/slice={k}"):
+            t.spark.read.schema(rows.schema).parquet(files.literal(f"{dealt}/slice={k}")).write.mode("append").parquet(folder)
+            come()
     for _ in range(2 if closing is not None else 0):  # the second gives a batch in which all that waits is decided
         S.closing_row(t.spark, rows.schema, closing).coalesce(1).write.mode("append").parquet(folder)
-    return J.read_log(t.spark, rows.schema, folder)
+        come()
 
 
 def shuffled_days(rows, key: str, delay: timedelta):
@@ -151,7 +161,7 @@ def places(t, label):
 @query("stream_story_dedup", DEDUP, "upload_log")
 def _(t):
     target, state = places(t, "dedup")
-    J.story_dedup(staged(t, t.upload_log, "uploads", scattered("upload_id")), target, state, BUCKETS).awaitTermination()
+    arriving(t, t.upload_log, "uploads", scattered("upload_id"), lambda uploads: J.story_dedup(uploads, target, state, BUCKETS))
     rows = J.current(t.spark, target, ["hash"], J.UPLOADS)
     return rows.withColumn("status", F.when(F.col("accepted_upload").isNull(), "failed").otherwise("ready"))
 
@@ -164,8 +174,8 @@ SELECT upload_id, hash, CASE WHEN failed THEN 'failed'
 def _(t):
     """What became of each upload as it came; a failed one leaves its content open."""
     target, state = places(t, "first-upload")
-    uploads = staged(t, t.upload_log, "uploads", scattered("upload_id"))
-    J.first_wins(uploads, ["hash"], ["upload_id"], target, state, ok=~F.col("failed"), buckets=BUCKETS).awaitTermination()
+    arriving(t, t.upload_log, "uploads", scattered("upload_id"),
+             lambda uploads: J.first_wins(uploads, ["hash"], ["upload_id"], target, state, ok=~F.col("failed"), buckets=BUCKETS))
     return J.outcomes(t.spark, target).select("upload_id", "hash", "outcome")
 
 
@@ -183,8 +193,8 @@ def _(t):
     """Files out of order, so that rows come late: none is lost."""
     target, state = places(t, "repeats")
     rows = t.raw("events").select("event_id", "ts", F.md5("props").alias("hash"))
-    events = staged(t, rows, "repeat-log", scattered("event_id"))
-    J.drop_repeats(events, ["hash"], "ts", target, state, delay=HALF, buckets=BUCKETS).awaitTermination()
+    arriving(t, rows, "repeat-log", scattered("event_id"),
+             lambda events: J.drop_repeats(events, ["hash"], "ts", target, state, delay=HALF, buckets=BUCKETS))
     of = lambda kind: F.count_if(F.col("outcome") == kind)
     return J.outcomes(t.spark, target).groupBy("hash").agg(of("late").alias("late"), of("accepted").alias("accepted"), of("repeat").alias("repeats"))
 
@@ -198,9 +208,9 @@ def _(t):
     """One outcome for every request; the stored table is the state to begin with."""
     target, state = places(t, "created")
     log = t.request_log.withColumn("ts", F.col("ts").cast("timestamp"))
-    requests = staged(t, log, "requests", shuffled_days(log, "request_id", DAY), LAST)
-    S.get_or_create(requests, t.suggestion, target, state, delay=DAY).awaitTermination()
-    return t.spark.read.schema(S.ASKED).parquet(target)
+    arriving(t, log, "requests", shuffled_days(log, "request_id", DAY),
+             lambda requests: S.get_or_create(requests, t.suggestion, target, state, delay=DAY, buckets=KEY_BUCKETS), LAST)
+    return S.said(t.spark, target, S.ASKED)
 
 
 @query("stream_feedback_once", FEEDBACK_ONCE, "feedback_log")
@@ -209,9 +219,9 @@ def _(t):
     target, state = places(t, "answers")
     log = t.feedback_log.groupBy("batch_id", "suggestion_id", F.col("ts").cast("timestamp").alias("ts")).agg(
         F.sort_array(F.collect_list(F.struct("type", "response"))).alias("answers"))  # a submission has a handful of answers
-    rows = staged(t, log, "submissions", shuffled_days(log, "batch_id", DAY), LAST)
-    S.feedback_once(rows, target, state, delay=DAY).awaitTermination()
-    return t.spark.read.schema(S.SAID).parquet(target).withColumn("answers", F.col("answers").cast("long"))
+    arriving(t, log, "submissions", shuffled_days(log, "batch_id", DAY),
+             lambda rows: S.feedback_once(rows, target, state, delay=DAY, buckets=KEY_BUCKETS), LAST)
+    return S.said(t.spark, target, S.SAID).withColumn("answers", F.col("answers").cast("long"))
 
 
 @query("stream_finalize_once", f"""
@@ -223,8 +233,8 @@ def _(t):
     """In order of arrival; unknown suggestions and second finalizations keep their row."""
     target, state = places(t, "final")
     known = t.suggestion.select("uuid", F.lit(True).alias("known"))
-    log = staged(t, t.finalize_log, "finalizations", scattered("event_id")).join(known, "uuid", "left")
-    J.first_wins(log, ["uuid"], ["ts", "event_id"], target, state, ok=F.col("known"), buckets=BUCKETS).awaitTermination()
+    arriving(t, t.finalize_log, "finalizations", scattered("event_id"), lambda log: J.first_wins(
+        log.join(known, "uuid", "left"), ["uuid"], ["ts", "event_id"], target, state, ok=F.col("known"), buckets=BUCKETS))
     name = F.when(F.col("outcome") == "accepted", "finalized").when(F.col("outcome") == "failed", "unknown suggestion").otherwise("finalized twice")
     return J.outcomes(t.spark, target).select("event_id", "uuid", "entry", name.alias("outcome"))
 
@@ -232,7 +242,7 @@ def _(t):
 @query("stream_status_latest", LATEST, "status_log")
 def _(t):
     target, state = places(t, "status")
-    J.status_latest(staged(t, t.status_log, "changes", scattered("event_id")), target, state, buckets=BUCKETS).awaitTermination()
+    arriving(t, t.status_log, "changes", scattered("event_id"), lambda log: J.status_latest(log, target, state, buckets=BUCKETS))
     return J.current(t.spark, target, ["uuid"], J.STATUS).select("uuid", "status", iso_text(F.col("ts")).alias("ts"), "changes")
 
 
@@ -244,8 +254,8 @@ def _(t):
     """Months close as time goes on; open and closed ones add up to the whole."""
     target, state = places(t, "monthly")
     log = t.suggestion.select("id", "story_hash", F.col("ts").cast("timestamp").alias("ts"))
-    made = staged(t, log, "made", shuffled_days(log, "id", DAY))
-    J.monthly_totals(made, t.assignment, target, state, delay=DAY, buckets=BUCKETS).awaitTermination()
+    arriving(t, log, "made", shuffled_days(log, "id", DAY),
+             lambda made: J.monthly_totals(made, t.assignment, target, state, delay=DAY, buckets=BUCKETS))
     totals = J.months(t.spark, target).groupBy("model_id", "month").agg(F.sum("suggestion_count").alias("suggestion_count"))
     return totals.withColumn("month", F.date_format("month", "yyyy-MM"))
 
@@ -257,7 +267,7 @@ def _(t):
     target, state = places(t, "exports")
     log = t.raw("events").select("event_id", F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_pid"),
                                  F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"))
-    J.latest_export(staged(t, log, "export-log", scattered("event_id")), target, state, BUCKETS).awaitTermination()
+    arriving(t, log, "export-log", scattered("event_id"), lambda exports: J.latest_export(exports, target, state, BUCKETS))
     return J.current(t.spark, target, ["game_pid"], J.EXPORTS).withColumn("latest", iso_text(F.col("latest")))
 
 
@@ -269,5 +279,5 @@ def _(t):
     none = F.lit(None).cast("string")
     uses = t.suggestion.select(F.lit("use").alias("kind"), F.col("id"), F.col("story_hash").alias("hash"), none.alias("game_pid"), none.alias("exported_at"))
     log = exports.unionByName(uses)
-    J.retention(staged(t, log, "retention-log", F.pmod(F.xxhash64("kind", "id"), F.lit(SLICES))), target, state, BUCKETS).awaitTermination()
+    arriving(t, log, "retention-log", F.pmod(F.xxhash64("kind", "id"), F.lit(SLICES)), lambda events: J.retention(events, target, state, BUCKETS))
     return J.deletions(t.spark, target).select("id", "hash", "game_pid", "exported_at")

@@ -27,8 +27,8 @@ from draftlens.streaming.keyed import BUCKETS, KeyedTable
 DELAY = timedelta(days=2)
 
 
-def read_log(spark: SparkSession, schema, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A Parquet table, one file or a folder of them, as a stream.
+def read_log(spark: SparkSession, schema, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A Parquet table, one file or a folder of them, as a stream; ``None`` takes all files at hand as one batch.
 
     Signs that patterns use stand for themselves in the path. A single file is
     written as a pattern, since the source takes no plain file.
@@ -37,7 +37,8 @@ def read_log(spark: SparkSession, schema, path: str, files_per_batch: int = 1) -
     pattern = files.literal(path)
     if files.is_file(spark, path):
         pattern = f"{files.literal(path[:-1])}[{files.literal(path[-1])}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    limit = {} if files_per_batch is None else {"maxFilesPerTrigger": files_per_batch}
+    return spark.readStream.schema(schema).options(**limit).parquet(pattern)
 
 
 def run(stream: DataFrame, write, state: str, trigger: dict | None = None) -> StreamingQuery:

@@ -240,3 +240,34 @@ def test_shared_folder_without_setting(spark, monkeypatch):
     monkeypatch.setattr(Bare.conf, "get", staticmethod(lambda key, default=None: {"spark.master": "yarn"}.get(key, default)))
     with pytest.raises(ValueError):
         session.shared_dir(Bare)
+
+
+def test_slices_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task gets a whole slice, and each slice comes as one micro-batch."""
+    from types import SimpleNamespace
+
+    from draftlens.plans import lifecycles as P
+
+    monkeypatch.setattr(P, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows, got = spark.range(0, 4000, 1, 4), []
+    start = lambda stream: J.run(stream, lambda batch, n: got.append((n, batch.count())), str(tmp_path / "state"))
+    P.arriving(SimpleNamespace(spark=spark), rows, "log", F.col("id") % P.SLICES, start)
+    assert got == [(k, 1000) for k in range(P.SLICES)]
+    assert len(list((tmp_path / "log").glob("part-*.parquet"))) > P.SLICES
+
+
+def test_state_of_requests_is_one_row_a_key(spark, tmp_path):
+    """Keyed tables hold what is taken, and nothing waits in the end."""
+    schema = "request_id long, ts timestamp, story_hash string, context_hash string, type string, description string"
+    rows = [(i, at(i % 50), "h", f"c{i % 40}", "e", None) for i in range(200)]
+    stored = spark.createDataFrame([("h", "c0", "e", "done")], "story_hash string, context_hash string, type string, status string")
+    folder, target, state = (str(tmp_path / n) for n in "lts")
+    stream = log(spark, folder, [sorted(rows, key=lambda r: r[1])], schema)
+    for _ in range(2):
+        S.closing_row(spark, stream.schema, "2999-01-01").write.mode("append").parquet(folder)
+    S.get_or_create(stream, stored, target, state, delay=timedelta(hours=1), buckets=2).awaitTermination()
+    key = "story_hash string, context_hash string, type string"
+    held = KeyedTable(spark, f"{state}/taken", L.SUGGESTION_KEY, f"{key}, taken int, until long, failed boolean", 2).read()
+    assert held.count() == 40 and held.where("taken = 1").count() == 40
+    assert KeyedTable(spark, f"{state}/waiting", L.SUGGESTION_KEY, f"{key}, at long, id long, mask int, answers int", 2).read().count() == 0
+    assert Counter(r.outcome for r in S.said(spark, target, S.ASKED).collect()) == {"created": 39, "existing": 161}
