@@ -126,8 +126,13 @@ def _chunk_sql(unit: str, chunks: str) -> str:
 @query("chunk_units", " UNION ALL ".join(_chunk_sql(u, c) for u, c in {
     "chars": "string_split(nfc_normalize(text), '')", "words": sql_tokens("text"), "tokens": sql_ws_tokens("text"), "sentences": sql_sentences("text")}.items()))
 def _(t):
-    part = lambda unit: F.transform(X.chunk_units(F.col("text"), unit), lambda c, i: F.struct(F.lit(unit).alias("unit"), i.cast("long").alias("pos"), c.alias("chunk")))
-    return documents(t).select("doc_id", F.inline(F.concat(*[part(u) for u in X.UNITS])))
+    # One unit of a text at a time, so that no row holds all chunks of all units.
+    rows = documents(t).select("doc_id", "text", X.nfc(F.col("text")).alias("composed"), F.explode(F.array(*map(F.lit, X.UNITS))).alias("unit"))
+    rows = rows.select("doc_id", "unit", F.when(F.col("unit") == "chars", F.col("composed")).otherwise(F.col("text")).alias("text"))
+    chunks = F.when(F.col("unit") == "chars", F.split("text", ""))
+    for unit in X.UNITS[1:]:
+        chunks = chunks.when(F.col("unit") == unit, X.chunk_units(F.col("text"), unit))
+    return rows.select("doc_id", "unit", F.posexplode(chunks).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("next_range", f"""
@@ -287,11 +292,12 @@ def _(t):
 
 
 @query("src_story_json", """
-SELECT concat('c', conv_id) AS game_pid, count(*) AS scenes, concat('c', conv_id) AS first_of, arg_max(text, turn) AS last_text, CAST(sum(length(text)) AS BIGINT) AS chars
-FROM conversations GROUP BY conv_id
+SELECT concat('c', conv_id) AS game_pid, turn, count(*) OVER w - 1 AS scenes, concat('c', conv_id) AS first_of, coalesce(lag(text) OVER w, '') AS last_text,
+  count(*) OVER c AS all_scenes, arg_max(text, turn) OVER c AS end_text, CAST(sum(length(text)) OVER c AS BIGINT) AS chars
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY conv_id)
 """)
 def _(t):
-    """Whole exports, half of them written as gzip and half as deflate, and read back."""
+    """Whole exports, half of them written as gzip and half as deflate, and read back; a row for each turn, with what came before it."""
     path = scratch_path(t.spark, "stories")
     exports = story_exports(t.raw("conversations"))
     half = F.pmod(F.xxhash64("game_pid"), F.lit(2))
@@ -299,10 +305,16 @@ def _(t):
         exports.where(half == k).select("story").write.option("compression", codec).mode("append").text(path)
     story = read_story_json(t.spark, path, lines=True)
     of = lambda p, k="string": F.try_variant_get("story", p, k)
-    scenes = F.transform(of("$.scenes", "array<variant>"), lambda s: F.coalesce(F.try_variant_get(s, "$.entries[0].description", "string"), F.lit("")))
-    return story.select(of("$.game_pid").alias("game_pid"), scenes.alias("scenes"), of("$.characters[0].description").alias("first_of")).select(
-        "game_pid", F.size("scenes").cast("long").alias("scenes"), F.replace("first_of", F.lit("Ada of "), F.lit("")).alias("first_of"),
-        F.try_element_at("scenes", F.lit(-1)).alias("last_text"), F.aggregate("scenes", F.lit(0).cast("long"), lambda n, s: n + F.length(s)).alias("chars"))
+    entry = lambda s, p, k: F.try_variant_get(s, f"$.entries[0].{p}", k)
+    scenes = F.transform(of("$.scenes", "array<variant>"), lambda s: F.struct(
+        entry(s, "seq_id", "string").cast("long").alias("turn"), F.coalesce(entry(s, "description", "string"), F.lit("")).alias("text")))
+    story = story.select(of("$.game_pid").alias("game_pid"), scenes.alias("told"), of("$.characters[0].description").alias("first_of"))
+    turns = F.transform("told", lambda s, i: F.struct(
+        s["turn"].alias("turn"), i.cast("long").alias("scenes"), F.coalesce(F.get("told", i - 1)["text"], F.lit("")).alias("last_text")))
+    return story.select(
+        "game_pid", F.inline(turns), F.replace("first_of", F.lit("Ada of "), F.lit("")).alias("first_of"), F.size("told").cast("long").alias("all_scenes"),
+        F.try_element_at("told", F.lit(-1))["text"].alias("end_text"), F.aggregate("told", F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"])).alias("chars")).select(
+        "game_pid", "turn", "scenes", "first_of", "last_text", "all_scenes", "end_text", "chars")
 
 
 @query("src_stopwords", r"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(text, '[ \t\n\v\f\r]+')) AS w FROM benchmark) WHERE w <> ''")

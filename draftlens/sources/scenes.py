@@ -74,7 +74,7 @@ def story_exports(conversations: DataFrame) -> DataFrame:
     in one row.
     """
     told = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("told"))
-    scene = lambda t: F.struct(F.array(F.struct(t["text"].alias("description"))).alias("entries"))
+    scene = lambda t: F.struct(F.array(F.struct(t["turn"].cast("string").alias("seq_id"), t["text"].alias("description"))).alias("entries"))
     person = lambda n, name: F.struct(F.lit(n).alias("character_seq_id"), F.lit(name).alias("name"),
                                       F.concat(F.lit(f"{name} of c"), F.col("conv_id").cast("string")).alias("description"))
     story = F.struct(
