@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -162,6 +164,31 @@ def test_buckets_grow(spark):
     assert quality.buckets(small.limit(0), "text") == quality.BUCKETS
 
 
+def test_quality_workers_take_little_memory(spark, monkeypatch):
+    """Neither pass of the classifier lists the n-grams of a whole batch at once, or keeps much for later stages."""
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
+    passes = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: passes.append(run) or spark.createDataFrame([], schema))
+    weights = quality.scored(docs, np.arange(quality.BUCKETS) / quality.BUCKETS)
+    quality._counts(docs, "doc_id", "text", np.array([1]), quality.BUCKETS)
+    assert weights.columns == [*docs.columns, "importance"]
+    texts = [None, "", *(f"word {i} " * (i % 50) + "and, so on " * 300 for i in range(3000))]
+    whole = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "source": pa.array(["x"] * len(texts))})
+    assert whole.nbytes > 10 << 20
+    for run, columns in zip(passes, (["doc_id", "text", "source"], ["doc_id", "text"]), strict=True):
+        monkeypatch.setattr(rolling, "_POWERS", {})
+        tracemalloc.start()
+        out = list(run(iter([whole.select(columns)])))
+        kept, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 120 << 20 and kept < 40 << 20, (most, kept)
+        if "source" in columns:
+            got = pa.Table.from_batches(out)
+            assert got.select(columns).equals(pa.Table.from_batches([whole]))
+            alone = [pa.Table.from_batches(run(iter([whole.slice(i, 1)])))["importance"][0].as_py() for i in (0, 1, 2, 1500, 3001)]
+            assert alone == [got["importance"][i].as_py() for i in (0, 1, 2, 1500, 3001)]
+
+
 def test_pipeline_with_clashing_names(spark, tmp_path):
     """Columns named like what the stages make pass through all but the last one unchanged."""
     rows, labels = corpus()
