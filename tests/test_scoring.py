@@ -9,7 +9,8 @@ from draftlens.functions import kernels as N
 from draftlens.operators import scoring as G
 from draftlens.operators import statistics as T
 from draftlens.operators import store as S
-from draftlens.operators.joins import packed
+from draftlens.operators.joins import dealt, packed
+from draftlens.sources.tables import Tables
 
 METRICS = ("user", "rouge-l", "rouge-w", "rouge-1", "rouge-2", "rouge-3", "rouge-4")
 
@@ -215,3 +216,93 @@ def test_increments_store_each_score_once(spark, tmp_path):
     for name, ids in (("a", "xy"), ("b", "yz"), ("b", "yz"), ("a", "xy")):
         S.write_increment(rows(*ids), path, name)
     assert sorted(r.suggestion_id for r in S.stored_increments(spark, path).collect()) == ["x", "y", "z"]
+
+
+def by_counting(rows):
+    """ROUGE-1..4 of each id by plain counting, the texts of an id taken as one."""
+    from collections import Counter
+
+    counts, out = {}, []
+    for uid, name, *texts in rows:
+        names, sides = counts.setdefault(uid, (set(), ({}, {})))
+        names.add(name)
+        for side, text in zip(sides, texts):
+            words = [w for w in (text or "").split() if w not in N._STOP]
+            for n in G.ORDERS:
+                side.setdefault(n, Counter()).update(tuple(words[i:i + n]) for i in range(len(words) - n + 1))
+    for names, (h, r) in counts.values():
+        row = [max((x for x in names if x is not None), default=None)]
+        for n in G.ORDERS:
+            m, hn, rn = sum((h[n] & r[n]).values()), sum(h[n].values()), sum(r[n].values())
+            p, q = m / hn if hn else 0.0, m / rn if rn else 0.0
+            row += [p, q, 2 * p * q / (p + q) if p + q else 0.0]
+        out.append(tuple(row))
+    return sorted(out, key=str)
+
+
+def native_rows(spark, rows):
+    df = spark.createDataFrame(rows, "id long, suggestion_id string, generated string, finalized string")
+    return sorted((tuple(r) for r in G.rouge_n(df).collect()), key=str)
+
+
+def odd_texts(seed, count):
+    """Texts of few and of many words, short and long, equal, unlike, repeated, empty and missing."""
+    rng = random.Random(seed)
+    for i in range(count):
+        words = ["b", "bb", "c", "bc", "e", "the"] if i % 2 else [f"w{j}" for j in range(40)]
+        side = lambda: " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 9, 60))))
+        h = side()
+        yield rng.choice((h, None, h + " " + h)), rng.choice((h, side(), side() + " " + h, h + " " + side() + " " + h, None))
+
+
+def test_native_ngrams_match_counting(spark):
+    rows = [(i, f"s {i}", h, r) for i, (h, r) in enumerate(odd_texts(8, 400))]
+    got, want = native_rows(spark, rows), by_counting(rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want):
+        assert g[1:] == pytest.approx(w[1:])
+
+
+def test_native_ngrams_of_ids_that_repeat(spark):
+    """Pairs of one id, a missing one too, count as one text; other ids stay apart."""
+    rng = random.Random(9)
+    ids = [None, None, None, 1, 1, 2, 2, 2, 3]
+    rows = [(ids[i] if i < len(ids) else 100 + i, rng.choice(("s#", "a b", None)), h, r) for i, (h, r) in enumerate(odd_texts(10, 40))]
+    got, want = native_rows(spark, rows), by_counting(rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want):
+        assert g[1:] == pytest.approx(w[1:])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_native_ngrams_do_not_move(spark, data):
+    """No gram is a row, and texts move once, also where no join is broadcast."""
+    rows = [(i, f"s{i}", "red oak red", "red oak") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, suggestion_id string, generated string, finalized string").repartition(3)
+    assert exchanges(G.rouge_n(df)) == exchanges(df) == 1
+    t, kept = Tables(spark, data), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # One of documents and one of labels.
+        assert exchanges(G.rouge_n(G.edit_pairs(t.suggestion_by_id, in_place=True))) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_suggestions_dealt_by_id_are_the_suggestions(spark, data, tmp_path):
+    t = Tables(spark, data)
+    assert sorted(map(str, t.suggestion_by_id.collect())) == sorted(map(str, t.suggestion.collect()))
+    t.suggestion.limit(30).write.parquet(str(tmp_path / "suggestion.parquet"))
+    stored = Tables(spark, str(tmp_path))
+    assert sorted(map(str, stored.suggestion_by_id.collect())) == sorted(map(str, stored.suggestion.collect()))
+
+
+def test_dealt_tasks_hold_whole_keys_of_bounded_bytes(spark):
+    df = spark.createDataFrame([(i % 500, 100) for i in range(4000)], "id long, n long")
+    out = dealt(df, F.col("n"), "id", task_bytes=4000)
+    assert out.rdd.getNumPartitions() == 100 and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    assert out.select("id", F.spark_partition_id().alias("t")).distinct().count() == 500
+    assert dealt(df.limit(0), F.col("n"), "id").count() == 0
